@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import sharding, urls
+import public_tokenizers
+
+from docledger.llm import bpe, sharding, urls
 from docledger.llm.common import table
 
 
@@ -18,6 +20,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_urls(spark))
 
 
-QUERIES = {"op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
