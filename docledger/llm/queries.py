@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docledger.llm import bpe, langid, sharding, urls
+from docledger.llm import bpe, decontaminate, langid, sharding, urls
 from docledger.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,6 +41,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
