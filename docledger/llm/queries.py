@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docledger.llm import bpe, decontaminate, langid, sharding, urls
+from docledger.llm import bpe, decontaminate, langid, sharding, simhash, urls
 from docledger.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +46,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
