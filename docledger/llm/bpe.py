@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.common import arrow_limits, materialize
 
-BLOCK_TOKENS, LONG_TEXT, LEAST_BUCKETS = 1_000_000, 4_000_000, 32
+BLOCK_TOKENS, LONG_TEXT, LEAST_BUCKETS, CHUNK = 6_000_000, 4_000_000, 32, 1 << 19
 
 _codecs: dict = {}
 
@@ -63,10 +63,39 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
+#: First bytes below ONE are numbers; those below TWO begin a number of two bytes, the rest one of four.
+ONE, TWO = 160, 240
+
+
+def _pack_stream(a: np.ndarray) -> bytes:
+    """Word numbers, small ones most frequent: one, two or four bytes each, first and further bytes compressed apart."""
+    if len(a) and a.max() >= 1 << 28:
+        raise ValueError("too many distinct words in a block")
+    a = a.astype(np.int32)
+    two = (a >= ONE) & (a < ONE + ((TWO - ONE) << 8))
+    four = a >= ONE + ((TWO - ONE) << 8)
+    b, c = a - ONE, a - ONE - ((TWO - ONE) << 8)
+    first = np.where(two, ONE + (b >> 8), np.where(four, TWO + (c >> 24), a)).astype(np.uint8)
+    second, rest = (b[two] & 255).astype(np.uint8), c[four]
+    parts = [first, second, ((rest >> 16) & 255).astype(np.uint8), ((rest >> 8) & 255).astype(np.uint8), (rest & 255).astype(np.uint8)]
+    packed = [zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in parts]
+    return struct.pack("<5I", *map(len, packed)) + b"".join(packed)
+
+
+def _unpack_stream(raw: bytes) -> np.ndarray:
+    ends = np.concatenate(([0], np.cumsum(struct.unpack_from("<5I", raw)))).tolist()
+    first, second, x, y, z = (np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[20 + i : 20 + j]), np.uint8) for i, j in zip(ends, ends[1:]))
+    out = first.astype(np.uint32)
+    two, four = (first >= ONE) & (first < TWO), first >= TWO
+    out[two] = ((out[two] - ONE) << 8) + second + ONE
+    out[four] = ((out[four] - TWO) << 24) + (x.astype(np.uint32) << 16) + (y.astype(np.uint32) << 8) + z + (ONE + ((TWO - ONE) << 8))
+    return out
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     body = b"".join(words)
     lengths = np.fromiter(map(len, words), np.uint32, len(words))
-    return struct.pack("<I", len(words)) + zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + body)
+    return struct.pack("<I", len(words)) + zstandard.ZstdCompressor(level=9).compress(lengths.tobytes() + body)
 
 
 def _unpack_words(b: bytes) -> list[bytes]:
@@ -101,7 +130,7 @@ def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType):
             every = list(seen)
             words = [every[i].encode("utf-8") for i in order.tolist()]
             buckets = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.uint32, len(words))
-            row = [[(task << 32) | number], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack(rank[local])], [_pack(buckets)], [_pack_words(words)]]
+            row = [[(task << 32) | number], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack_stream(rank[local])], [_pack(buckets)], [_pack_words(words)]]
             number += 1
             return pa.record_batch([pa.array(v, t.type) for v, t in zip(row, schema)], schema=schema)
 
@@ -161,7 +190,7 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
         out = []
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("lengths").to_pylist(), right.column("ids").to_pylist()))
         for docs, counts, stream, buckets in zip(*[left.column(c).to_pylist() for c in ("ids", "counts", "stream", "buckets")]):
-            counts, stream, of = _unpack(counts).astype(np.int64), _unpack(stream), _unpack(buckets)
+            counts, stream, of = _unpack(counts).astype(np.int64), _unpack_stream(stream), _unpack(buckets)
             order = np.argsort(of, kind="stable")  # the words as the buckets have them, one bucket after another
             dealt = np.concatenate([_unpack(r[1]) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
             pool = np.concatenate([_unpack(r[2]) for r in rows]) if rows else np.zeros(0, np.uint32)
@@ -169,15 +198,23 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
                 raise ValueError("a block's words did not all come back")
             lengths, starts = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
             lengths[order], starts[order] = dealt, np.concatenate(([0], np.cumsum(dealt)))[:-1]
-            per = lengths[stream]
-            ids = pool[_gather(starts[stream], per)].astype("<u4")
-            words_end = np.cumsum(counts)
-            ends = np.concatenate(([0], np.cumsum(per)))[np.concatenate(([0], words_end))]
-            size = token_starts[ids.astype(np.int64) + 1] - token_starts[ids]
-            text = token_bytes[_gather(token_starts[ids], size)].tobytes()
-            cut = np.concatenate(([0], np.cumsum(size)))[ends].tolist()
-            raw, ends = ids.tobytes(), ends.tolist()
-            arrays = [docs, np.diff(ends).tolist(), [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], [text[a:b] for a, b in zip(cut, cut[1:])]]
+            ends, id_rows, text_rows, numbers = np.concatenate(([0], np.cumsum(counts))), [], [], []
+            i = 0
+            while i < len(counts):  # texts of about CHUNK pre-tokens together
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, "right")) - 1)
+                own = stream[ends[i] : ends[j]]
+                per = lengths[own]
+                ids = pool[_gather(starts[own], per)].astype("<u4")
+                cut = np.concatenate(([0], np.cumsum(per)))[ends[i : j + 1] - ends[i]]
+                size = token_starts[ids.astype(np.int64) + 1] - token_starts[ids]
+                text = b"".join(token_bytes[_gather(token_starts[ids[k : k + CHUNK]], size[k : k + CHUNK])].tobytes() for k in range(0, len(ids), CHUNK))
+                at = np.concatenate(([0], np.cumsum(size)))[cut].tolist()
+                raw, cut = ids.tobytes(), cut.tolist()
+                numbers += np.diff(cut).tolist()
+                id_rows += [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]
+                text_rows += [text[x:y] for x, y in zip(at, at[1:])]
+                i = j
+            arrays = [docs, numbers, id_rows, text_rows]
             out.append(pa.table([pa.array(v, t.type) for v, t in zip(arrays, schema)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
