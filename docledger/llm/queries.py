@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docledger.llm import bpe, decontaminate, langid, sharding, simhash, urls
+from docledger.llm import bpe, decontaminate, langid, pii, sharding, simhash, urls
 from docledger.llm.common import table
 
 
@@ -41,11 +41,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_urls(spark))
 
 
+#: Production would hand its own secret over.
+SURROGATE_KEY = b"docledger surrogate key"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_replaced")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+QUERIES = {"op9_surrogates": op9_surrogates, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op7_language": op7_language, "op6_interleave": op6_interleave, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
