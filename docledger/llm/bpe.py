@@ -13,7 +13,6 @@ A frequent word crosses the shuffle once for a block, so no word is hot; the tex
 from __future__ import annotations
 
 import base64
-import pickle
 import struct
 import zlib
 
@@ -25,12 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits, materialize
+from docledger.llm.common import Shared, arrow_limits, materialize
 
 BLOCK_TOKENS, LONG_TEXT, LEAST_BUCKETS, CHUNK = 6_000_000, 4_000_000, 32, 1 << 19
 
-_codecs: dict = {}
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The ranks file of a byte-level BPE vocabulary: a line holds a token in base 64 and its rank."""
@@ -38,18 +35,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _codec(shared, pattern: str):
-    """(encoder, token bytes in one piece, where each token starts), once for each worker and vocabulary."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _codecs:
-        import tiktoken
+def _codec(ranks: dict[bytes, int], pattern: str):
+    """(encoder, the bytes of all tokens in one piece, where each token starts)."""
+    import tiktoken
 
-        ranks = pickle.loads(shared.value)
-        by_id = {v: k for k, v in ranks.items()}
-        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int64)
-        _codecs[key] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), np.frombuffer(b"".join(tokens), np.uint8), starts)
-    return _codecs[key]
+    by_id = {v: k for k, v in ranks.items()}
+    tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int64)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), np.frombuffer(b"".join(tokens), np.uint8), starts
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -171,7 +164,7 @@ def _deal(batches):
 
 def _encode_bucket(shared, pattern: str):
     def run(group: pa.Table) -> pa.Table:
-        encode = _codec(shared, pattern)[0]._encode_single_piece
+        encode = shared.get(lambda r: _codec(r, pattern))[0]._encode_single_piece
         known: dict[bytes, list[int]] = {}
         lengths, ids = [], []
         for packed in group.column("words").to_pylist():
@@ -185,7 +178,7 @@ def _encode_bucket(shared, pattern: str):
 
 def _reassemble(shared, pattern: str, id_type: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, token_bytes, token_starts = _codec(shared, pattern)
+        _, token_bytes, token_starts = shared.get(lambda r: _codec(r, pattern))
         schema = pa.schema([("doc_id", id_type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
         out = []
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("lengths").to_pylist(), right.column("ids").to_pylist()))
@@ -230,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(load_ranks(path)))
+    shared = Shared(spark, load_ranks(path))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -252,11 +245,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """
     spark = encoded.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(load_ranks(path)))
+    shared = Shared(spark, load_ranks(path))
 
     @F.pandas_udf("string")
     def text(ids):
-        table = {v: k for k, v in pickle.loads(shared.value).items()}
+        table = shared.get(lambda r: {v: k for k, v in r.items()})
         return ids.map(lambda b: None if b is None else b"".join(table[i] for i in np.frombuffer(b, "<u4").tolist()).decode("utf-8", "replace"))
 
     return encoded.withColumn("text", text(F.col(ids_col)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -51,3 +52,21 @@ def free(*dfs: DataFrame) -> None:
             if folder.startswith(("file:", "hdfs:", "s3", "abfs", "gs:", "/")) and "-" in folder.rpartition("/")[2]:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(hadoop).delete(path, True)
+
+
+_held: dict = {}
+
+
+class Shared:
+    """A broadcast value of bounded size, and what each worker builds of it, once for each process."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.token, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(value))
+
+    def get(self, build=None):
+        if self.token not in _held:
+            if len(_held) >= 8:
+                _held.clear()
+            value = pickle.loads(self.broadcast.value)
+            _held[self.token] = build(value) if build else value
+        return _held[self.token]

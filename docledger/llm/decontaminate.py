@@ -9,22 +9,19 @@ Texts stay where they are: the items are a stated query set, taken to the worker
 
 from __future__ import annotations
 
-import pickle
 from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits
+from docledger.llm.common import Shared, arrow_limits
 
 #: Edits allowed for each character of an item, shortest item (normalised) that is searched, characters of items in one block.
 RATE, SHORTEST, BLOCK_CHARS = 0.1, 20, 4_000_000
 
 MATCH = "array<struct<item_id:long,distance:int,budget:int>>"
 
-_built: dict = {}
-
 
 def normalise(text: str | None) -> str:
     """Lower case, white space runs as one space."""
@@ -141,6 +138,15 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int
     return [[tuple(r) for r in items.where(block == b).distinct().collect()] for b in range(n)]
 
 
+def _finder(shared: Shared):
+    @F.pandas_udf(MATCH)
+    def find(texts: pd.Series) -> pd.Series:
+        of = shared.get(lambda x: Matcher(*x)).find
+        return texts.map(lambda t: [{"item_id": i, "distance": d, "budget": b} for i, d, b in of(t)])
+
+    return find
+
+
 def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> Column:
     """array<struct<item_id, distance, budget>>: the items that occur in the text, with their least distance; never null.
 
@@ -149,18 +155,8 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     one id and several texts give an entry for each text found.
     """
     arrow_limits(docs.sparkSession)
-    spark, parts = docs.sparkSession, []
-    for block in _blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(pickle.dumps((block, rate)))
-
-        def find(texts: pd.Series, shared=shared) -> pd.Series:
-            if shared.id not in _built:
-                _built.clear()
-                _built[shared.id] = Matcher(*pickle.loads(shared.value))
-            found = _built[shared.id].find
-            return texts.map(lambda t: [{"item_id": i, "distance": d, "budget": b} for i, d, b in found(t)])
-
-        parts.append(F.pandas_udf(find, MATCH, F.PandasUDFType.SCALAR)(F.col(text_col)))
+    text = F.col(text_col)
+    parts = [_finder(Shared(docs.sparkSession, (block, rate)))(text) for block in _blocks(items, item_id, item_text)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits
+from docledger.llm.common import Shared, arrow_limits
 
 #: The model: hashed trigrams, smoothing, labelled documents learnt from per language (a hash sample of about so many),
 #: and how many languages there may be.
@@ -114,7 +114,7 @@ def mixture(model: Model, features: np.ndarray) -> np.ndarray:
         shares[chosen], best, fit = part, value, f
 
 
-def predict(model: Model, text: Column) -> Column:
+def predict(shared: Shared, text: Column) -> Column:
     """struct<lang_pred string, score double, shares array<struct<lang string, share double>>>.
 
     lang_pred has the largest share (of ties the first by name), and score is that share. A null text, one without a
@@ -123,7 +123,7 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, shares array<struct<lang:string,share:double>>")
     def infer(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        model, rows = shared.get(), []
         for t in texts:
             x = mixture(model, trigrams(t))
             if not x.any():
@@ -139,4 +139,4 @@ def predict(model: Model, text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """Adds the struct of predict(); every row stays, repeated ones too."""
     arrow_limits(docs.sparkSession)
-    return docs.withColumn(out, predict(model, F.col(text_col)))
+    return docs.withColumn(out, predict(Shared(docs.sparkSession, model), F.col(text_col)))

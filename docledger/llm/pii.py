@@ -9,7 +9,6 @@ few take a later attempt. Texts are scanned twice and never shuffled.
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
 import zlib
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits, materialize
+from docledger.llm.common import Shared, arrow_limits, materialize
 
 #: Entities off the first attempt that go to the workers at once (they go in several blocks beyond), and attempts at most.
 BLOCK, ATTEMPTS = 200_000, 50
@@ -208,6 +207,18 @@ def later_attempts(entities: DataFrame, key: bytes) -> DataFrame:
     return out
 
 
+def _new_parts(shared: Shared, key: bytes, block: int, n_blocks: int):
+    """Where the new parts of one block's entities go, and what they are."""
+
+    @F.pandas_udf("array<struct<a:int,b:int,new:string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        attempts = shared.get()
+        mine = lambda k, c: zlib.crc32(f"{k}\0{c}".encode()) % n_blocks == block
+        return texts.map(lambda t: [{"a": a, "b": b, "new": render(k, t[a:b], surrogate(key, k, c, attempts.get((k, c), 0)))} for a, b, k, c in find(t) if mine(k, c)])
+
+    return spans
+
+
 def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", out: str = "text", count: str = "n_replaced") -> DataFrame:
     """The documents with surrogates in `out`, and how many in `count`; all rows and other columns stay.
 
@@ -223,25 +234,16 @@ def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", out: str = "
     place = F.pmod(F.crc32(F.concat_ws("\0", "kind", "canon").cast("binary")), F.lit(n_blocks))
     text = F.col(text_col)
     if n_blocks == 1:
-        shared = spark.sparkContext.broadcast(pickle.dumps({(r[0], r[1]): r[2] for r in later.collect()}))
+        shared = Shared(spark, {(r[0], r[1]): r[2] for r in later.collect()})
 
         @F.pandas_udf("text string, n int")
         def whole(texts: pd.Series) -> pd.DataFrame:
-            attempts = pickle.loads(shared.value)
+            attempts = shared.get()
             return pd.DataFrame([(None, 0) if t is None else replace(t, key, attempts) for t in texts], columns=["text", "n"])
 
         rows = docs.withColumn("_new", whole(text))
         return rows.withColumns({out: F.col("_new.text"), count: F.col("_new.n")}).drop("_new")
-    parts = []
-    for block in range(n_blocks):  # each block finds the new parts of its own entities
-        shared = spark.sparkContext.broadcast(pickle.dumps({(r[0], r[1]): r[2] for r in later.where(place == block).collect()}))
-
-        def spans(texts: pd.Series, shared=shared, block=block) -> pd.Series:
-            attempts = pickle.loads(shared.value)
-            mine = lambda k, c: zlib.crc32(f"{k}\0{c}".encode()) % n_blocks == block
-            return texts.map(lambda t: [{"a": a, "b": b, "new": render(k, t[a:b], surrogate(key, k, c, attempts.get((k, c), 0)))} for a, b, k, c in find(t) if mine(k, c)])
-
-        parts.append(F.pandas_udf(spans, "array<struct<a:int,b:int,new:string>>", F.PandasUDFType.SCALAR)(text))
+    parts = [_new_parts(Shared(spark, {(r[0], r[1]): r[2] for r in later.where(place == block).collect()}), key, block, n_blocks)(text) for block in range(n_blocks)]
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series, found: pd.Series) -> pd.Series:
