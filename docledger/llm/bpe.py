@@ -64,20 +64,24 @@ def _pack_stream(a: np.ndarray) -> bytes:
     """Word numbers, small ones most frequent: one, two or four bytes each, first and further bytes compressed apart."""
     if len(a) and a.max() >= 1 << 28:
         raise ValueError("too many distinct words in a block")
-    a = a.astype(np.int32)
-    two = (a >= ONE) & (a < ONE + ((TWO - ONE) << 8))
-    four = a >= ONE + ((TWO - ONE) << 8)
-    b, c = a - ONE, a - ONE - ((TWO - ONE) << 8)
-    first = np.where(two, ONE + (b >> 8), np.where(four, TWO + (c >> 24), a)).astype(np.uint8)
-    second, rest = (b[two] & 255).astype(np.uint8), c[four]
-    parts = [first, second, ((rest >> 16) & 255).astype(np.uint8), ((rest >> 8) & 255).astype(np.uint8), (rest & 255).astype(np.uint8)]
-    packed = [zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in parts]
+    parts: list[list[bytes]] = [[], [], [], [], []]
+    packers = [zstandard.ZstdCompressor(level=3).compressobj() for _ in parts]
+    for i in range(0, len(a), CHUNK):
+        own = a[i : i + CHUNK].astype(np.int32)
+        two = (own >= ONE) & (own < ONE + ((TWO - ONE) << 8))
+        four = own >= ONE + ((TWO - ONE) << 8)
+        b, c = own - ONE, own[four] - ONE - ((TWO - ONE) << 8)
+        first = np.where(two, ONE + (b >> 8), own)
+        first[four] = TWO + (c >> 24)
+        for part, packer, x in zip(parts, packers, (first, b[two] & 255, (c >> 16) & 255, (c >> 8) & 255, c & 255)):
+            part.append(packer.compress(x.astype(np.uint8).tobytes()))
+    packed = [b"".join(part) + packer.flush() for part, packer in zip(parts, packers)]
     return struct.pack("<5I", *map(len, packed)) + b"".join(packed)
 
 
 def _unpack_stream(raw: bytes) -> np.ndarray:
     ends = np.concatenate(([0], np.cumsum(struct.unpack_from("<5I", raw)))).tolist()
-    first, second, x, y, z = (np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[20 + i : 20 + j]), np.uint8) for i, j in zip(ends, ends[1:]))
+    first, second, x, y, z = (np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(raw[20 + i : 20 + j]), np.uint8) for i, j in zip(ends, ends[1:]))
     out = first.astype(np.uint32)
     two, four = (first >= ONE) & (first < TWO), first >= TWO
     out[two] = ((out[two] - ONE) << 8) + second + ONE
@@ -191,7 +195,7 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
                 raise ValueError("a block's words did not all come back")
             lengths, starts = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
             lengths[order], starts[order] = dealt, np.concatenate(([0], np.cumsum(dealt)))[:-1]
-            ends, id_rows, text_rows, numbers = np.concatenate(([0], np.cumsum(counts))), [], [], []
+            ends = np.concatenate(([0], np.cumsum(counts)))
             i = 0
             while i < len(counts):  # texts of about CHUNK pre-tokens together
                 j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, "right")) - 1)
@@ -203,12 +207,9 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
                 text = b"".join(token_bytes[_gather(token_starts[ids[k : k + CHUNK]], size[k : k + CHUNK])].tobytes() for k in range(0, len(ids), CHUNK))
                 at = np.concatenate(([0], np.cumsum(size)))[cut].tolist()
                 raw, cut = ids.tobytes(), cut.tolist()
-                numbers += np.diff(cut).tolist()
-                id_rows += [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])]
-                text_rows += [text[x:y] for x, y in zip(at, at[1:])]
+                arrays = [docs[i:j], np.diff(cut).tolist(), [raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:])], [text[x:y] for x, y in zip(at, at[1:])]]
+                out.append(pa.table([pa.array(v, t.type) for v, t in zip(arrays, schema)], schema=schema))
                 i = j
-            arrays = [docs, numbers, id_rows, text_rows]
-            out.append(pa.table([pa.array(v, t.type) for v, t in zip(arrays, schema)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
