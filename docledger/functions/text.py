@@ -70,25 +70,28 @@ def formula_safe(x: Column) -> Column:
     return F.when(risky, F.concat(F.lit("'"), x)).otherwise(x)
 
 
+def without_unclear(x: Column) -> Column:
+    """A handwritten text without marks for unclear places and control characters."""
+    t = F.regexp_replace(x, "(?i)%(?:math|na|sc|unclear|illegible|strike|deleted|insert)%", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[\\x00-\\x1F\\x7F-\\x{9F}]", " "), "\\s+", " "))
+
+
+def handwritten(x: Column, kind: str) -> Column:
+    """Characters read as the kind expected: numeric or alpha."""
+    return F.translate(without_unclear(x), "OoQDIl|i!ZzSs$bB", "0000111112255568") if kind == "numeric" else F.translate(without_unclear(x), "01582", "OISBZ")
+
+
 def semantic_role(x: Column) -> Column:
     """What a handwritten token is: empty, date, amount, quantity, label, identifier or text."""
-    t = F.trim(F.coalesce(x, F.lit("")))
+    t = F.coalesce(without_unclear(x), F.lit(""))
+    date = "\\b\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}\\b|\\b\\d{4}[/-]\\d{1,2}[/-]\\d{1,2}\\b|(?i)\\b\\d{1,2}\\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+\\d{2,4}\\b"
+    amount = "(?i)^(?:(?:[₹$€£]|INR|Rs\\.?)\\s*-?\\d[\\d,]*(?:\\.\\d{1,2})?|-?\\d[\\d,]*(?:\\.\\d{1,2})?\\s*(?:/-)?$)"
     return (
         F.when(t == "", "empty")
-        .when(t.rlike("^\\d{1,4}[/.-]\\d{1,2}[/.-]\\d{1,4}$"), "date")
-        .when(t.rlike("(?i)^(₹|rs\\.?|inr)?\\s*\\d[\\d,]*\\.\\d{2}$") | t.rlike("(?i)^(₹|rs\\.?|inr)\\s*\\d"), "amount")
-        .when(t.rlike("^\\d{1,6}$"), "quantity")
-        .when(t.rlike(":\\s*$"), "label")
-        .when(t.rlike("\\d") & t.rlike("^[A-Za-z0-9/-]{4,}$"), "identifier")
+        .when(t.rlike(date), "date")
+        .when(t.rlike(amount) | t.rlike("[₹$€£]"), "amount")
+        .when(t.rlike("(?i)^\\d+(?:\\.\\d+)?\\s*(?:nos|pcs|qty|units?|kgs?|ltrs?|each|boxes)?$"), "quantity")
+        .when(F.lower(t).rlike("invoice|bill|tax|total|date|seller|buyer|client"), "label")
+        .when(t.rlike("(?i)^[A-Z0-9][A-Z0-9/\\-_]{3,24}$") & t.rlike("\\d"), "identifier")
         .otherwise("text")
     )
-
-
-def without_unclear(x: Column) -> Column:
-    """A handwritten text without marks for unclear places and control characters."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "(?i)%unclear%", " "), "[\\x00-\\x1F\\x7F]", " "), "\\s+", " "))
-
-
-def letterlike(x: Column) -> Column:
-    """Digits that are read for letters, as letters."""
-    return F.translate(x, "01589", "OISBG")

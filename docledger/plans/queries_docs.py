@@ -1 +1,100 @@
-"""To come."""
+"""Queries of document text and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docledger.operators import extract
+from docledger.plans.catalog import query
+
+#: An invoice as text, for each order: the marks that lines of a layout have, labels, and a grid.
+TEXT = """concat_ws(chr(10), 'L001| TAX INVOICE', concat('L002| Invoice No: ', invoice_no), concat('L003| Invoice Date: ', coalesce(cast(invoice_date as string), '')), concat('L004| Supplier GSTIN: ', coalesce(supplier_gstin, '')),
+ case when o_orderkey % 4 = 0 then 'L005| Reverse charge: No' when o_orderkey % 4 = 1 then 'L005| Reverse charge: Yes' else 'L005| Thank you' end,
+ 'L006| HSN | Description | Qty | Amount', concat('L007| ', cast(1000 + o_orderkey % 9000 as string), ' | Widget ', cast(o_orderkey as string), ' | 2 | ', coalesce(cast(taxable as string), '0.00')),
+ 'L008| Carried forward | | | 1.00', concat('L009| Taxable Value: ', coalesce(cast(taxable as string), '0.00')), concat('L010| Grand Total: ', coalesce(cast(total as string), '0.00')))"""
+
+
+def texts(t):
+    return t("inv_headers").select("o_orderkey", "invoice_no", "supplier_gstin", F.expr(TEXT).alias("text"))
+
+
+@query("d01_lines", "select o_orderkey, 10 - case when invoice_date is null then 0 else 0 end as n from inv_headers")
+def _(t, spark):
+    return extract.lines(texts(t), "o_orderkey", "text").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("d02_label_fields", "select o_orderkey, 'invoice_no' as field, invoice_no as value from inv_headers union all select o_orderkey, 'total_amount', coalesce(cast(total as varchar), '0.00') from inv_headers union all select o_orderkey, 'supplier_gstin', supplier_gstin from inv_headers where supplier_gstin is not null union all select o_orderkey, 'invoice_date', cast(invoice_date as varchar) from inv_headers where invoice_date is not null")
+def _(t, spark):
+    x = extract.label_fields(extract.lines(texts(t), "o_orderkey", "text"), "o_orderkey")
+    return x.where(F.col("field").isin("invoice_no", "total_amount", "supplier_gstin", "invoice_date")).select("o_orderkey", "field", "value")
+
+
+@query("d03_gstin_roles", "select o_orderkey, supplier_gstin as gstin, 'supplier' as role from inv_headers where supplier_gstin is not null")
+def _(t, spark):
+    return extract.gstin_roles(texts(t), "o_orderkey", "text")
+
+
+@query("d08_document_type", "select o_orderkey, case o_orderkey % 4 when 0 then 'tax_invoice' when 1 then 'credit_note' when 2 then 'bill_of_supply' end as kind from orders")
+def _(t, spark):
+    x = F.expr("case o_orderkey % 4 when 0 then 'Tax Invoice' when 1 then 'CREDIT NOTE against tax invoice' when 2 then 'Bill of Supply' else 'Letter' end")
+    return t("orders").select("o_orderkey", extract.document_type(x).alias("kind"))
+
+
+@query("d09_flags", "select o_orderkey, case o_orderkey % 4 when 0 then 'false' when 1 then 'true' end as reverse_charge from inv_headers")
+def _(t, spark):
+    return texts(t).select("o_orderkey", extract.flags(F.col("text"))["reverse_charge"].alias("reverse_charge"))
+
+
+@query("d10_grid_rows", "select o_orderkey, cast(1000 + o_orderkey % 9000 as varchar) as hsn, coalesce(cast(taxable as varchar), '0.00') as amount from inv_headers")
+def _(t, spark):
+    x = extract.grid_rows(extract.lines(texts(t), "o_orderkey", "text"), "o_orderkey").where(F.col("cells")[0].rlike("^[0-9]+$"))
+    return x.select("o_orderkey", F.col("cells")[0].alias("hsn"), F.col("cells")[3].alias("amount"))
+
+
+@query("p18_skipped", "select doc_id, length(trim(text)) = 0 as skipped from documents")
+def _(t, spark):
+    return t("documents").select("doc_id", extract.skipped(F.col("text")).alias("skipped"))
+
+
+@query("p19_gate", "select o_orderkey, true as invoice from inv_headers")
+def _(t, spark):
+    return texts(t).select("o_orderkey", extract.gate(F.col("text")).alias("invoice"))
+
+
+@query("p20_useful_line", "select l_orderkey, line_idx, (d <> '' and (h <> '' or q <> '')) or (h <> '' and q <> '') as useful from (select l_orderkey, line_idx, case when l_partkey % 2 = 0 then 'x' else '' end as d, case when l_partkey % 3 = 0 then hsn else '' end as h, case when l_partkey % 5 = 0 then '1' else '' end as q from inv_lines) a")
+def _(t, spark):
+    pick = lambda n, v: F.expr(f"case when l_partkey % {n} = 0 then {v} else '' end")
+    none = F.lit(None).cast("string")
+    return t("inv_lines").select("l_orderkey", "line_idx", extract.useful_line(pick(2, "'x'"), pick(3, "hsn"), pick(5, "'1'"), none, none).alias("useful"))
+
+
+@query("s14_page_class", "select doc_id, case when c >= 50 and g < 0.10 and i < 0.85 then 'digital' when c < 20 or g >= 0.30 or (i >= 0.85 and c < 50) then 'scanned' else 'mixed' end as kind from (select doc_id, doc_id % 80 as c, (doc_id % 40) / 100.0 as g, (doc_id % 11) / 10.0 as i from documents) a")
+def _(t, spark):
+    d = F.col("doc_id")
+    return t("documents").select("doc_id", extract.page_class(d % 80, d % 40 / 100, d % 11 / 10).alias("kind"))
+
+
+@query("w06_segments", "select conv_id, turn, sum(new) over (partition by conv_id order by turn rows between unbounded preceding and current row) as segment from (select conv_id, turn, case when lag(turn) over (partition by conv_id order by turn) is null then 0 when no is not null and last_value(no ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) <> no then 1 else 0 end as new from (select conv_id, turn, case when turn % 2 = 0 then 'N' || cast((turn // 4) as varchar) end as no from conversations) a) b")
+def _(t, spark):
+    x = t("conversations").selectExpr("conv_id", "turn", "case when turn % 2 = 0 then concat('N', cast(turn div 4 as string)) end as no", "cast(null as string) as sup", "'page' as text")
+    return extract.segments(x, "conv_id", "turn", "no", "sup", "text").select("conv_id", "turn", "segment")
+
+
+@query("f58_clean_amount", "select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as varchar) as v from orders")
+def _(t, spark):
+    v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    eu = F.concat(F.lit("₹ "), F.when(F.length(v) > 6, F.concat(F.expr("substr(cast(cast(o_totalprice as decimal(18,2)) as string), 1, length(cast(cast(o_totalprice as decimal(18,2)) as string)) - 6)"), F.lit("."), F.translate(F.right(v, F.lit(6)), ".", ","))).otherwise(F.translate(v, ".", ",")), F.lit("/-"))
+    us = F.concat(F.lit("$"), F.when(F.length(v) > 6, F.concat(F.expr("substr(cast(cast(o_totalprice as decimal(18,2)) as string), 1, length(cast(cast(o_totalprice as decimal(18,2)) as string)) - 6)"), F.lit(" "), F.right(v, F.lit(6)))).otherwise(v))
+    return t("orders").select("o_orderkey", extract.clean_amount(F.when(F.col("o_orderkey") % 2 == 0, eu).otherwise(us)).alias("v"))
+
+
+@query("f73_upi", "select c_custkey, 'shop' || cast(c_custkey as varchar) || '@bank' as payee, cast(c_custkey as varchar) || '.50' as amount from customer")
+def _(t, spark):
+    u = F.expr("concat('upi://pay?pa=shop', cast(c_custkey as string), '%40bank&am=', cast(c_custkey as string), '.50')")
+    return t("customer").select("c_custkey", extract.upi(u).alias("u")).select("c_custkey", "u.payee", "u.amount")
+
+
+@query("d14_party_side", "select event_id, case when (event_id % 100) / 100.0 < 0.48 then 'seller' else 'client' end as side from events")
+def _(t, spark):
+    x = F.col("event_id") % 100 / 100
+    return t("events").select("event_id", extract.party_side(x, x).alias("side"))

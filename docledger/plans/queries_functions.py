@@ -47,12 +47,12 @@ def _(t, spark):
     return t("part").select("p_partkey", d.alias("d")).where("d >= 0")
 
 
-@query("f12_semantic_role", """select l_orderkey, line_idx, v, case when trim(v) = '' then 'empty' when regexp_full_match(trim(v), '\\d{1,4}[/.-]\\d{1,2}[/.-]\\d{1,4}') then 'date'
- when regexp_matches(trim(v), '(?i)^(₹|rs\\.?|inr)?\\s*\\d[\\d,]*\\.\\d{2}$') or regexp_matches(trim(v), '(?i)^(₹|rs\\.?|inr)\\s*\\d') then 'amount' when regexp_full_match(trim(v), '\\d{1,6}') then 'quantity' when regexp_matches(trim(v), ':\\s*$') then 'label'
- when regexp_matches(trim(v), '\\d') and regexp_full_match(trim(v), '[A-Za-z0-9/-]{4,}') then 'identifier' else 'text' end as role
- from (select l_orderkey, line_idx, case line_idx % 4 when 0 then amount_cell when 1 then date_cell when 2 then hsn else description_cell end as v from raw_rows) r""")
+@query("f12_semantic_role", r"""select l_orderkey, line_idx, v, case when v = '' then 'empty' when regexp_matches(v, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b') then 'date'
+ when regexp_matches(v, '(?i)^((?:[₹$€£]|INR|Rs\.?)\s*-?\d[\d,]*(?:\.\d{1,2})?|-?\d[\d,]*(?:\.\d{1,2})?\s*(?:/-)?$)') then 'amount' when regexp_matches(v, '(?i)^\d+(?:\.\d+)?\s*(?:nos|pcs|qty|units?|kgs?)?$') then 'quantity' when regexp_matches(lower(v), 'invoice|bill|tax|total|date') then 'label'
+ when regexp_matches(v, '(?i)^[A-Z0-9][A-Z0-9/\-_]{3,24}$') and regexp_matches(v, '\d') then 'identifier' else 'text' end as role
+ from (select l_orderkey, line_idx, case line_idx % 5 when 0 then amount_cell when 1 then date_cell when 2 then hsn || ' pcs' when 3 then 'REF-' || hsn else description_cell end as v from raw_rows) r""")
 def _(t, spark):
-    v = F.expr("case line_idx % 4 when 0 then amount_cell when 1 then date_cell when 2 then hsn else description_cell end")
+    v = F.expr("case line_idx % 5 when 0 then amount_cell when 1 then date_cell when 2 then concat(hsn, ' pcs') when 3 then concat('REF-', hsn) else description_cell end")
     return t("raw_rows").select("l_orderkey", "line_idx", v.alias("v"), text.semantic_role(v).alias("role"))
 
 

@@ -410,3 +410,47 @@ def _(t, spark):
 @query("p25_state_valid", "select s_suppkey from sup_ids where substr(gstin, 1, 2) <> '96'")
 def _(t, spark):
     return t("sup_ids").where(ids.gstin_valid(F.col("gstin"))).select("s_suppkey")
+
+
+@query("t02_dedupe_stream", "select count(*) as n from (select distinct user_id, event_type from events) a")
+def _(t, spark):
+    """The stream of events, with one of each user and kind, run to its end."""
+    from docledger.streaming import jobs as streams
+
+    return _streamed(t, spark, lambda s: streams.idempotent(s, ["user_id", "event_type"], hours=24 * 10000), "append").agg(F.count("*").alias("n"))
+
+
+@query("t03_states_stream", "select user_id, arg_max(event_type, event_id) as state, count(*) as n_events from events group by 1")
+def _(t, spark):
+    from docledger.streaming import jobs as streams
+
+    return _streamed(t, spark, lambda s: streams.states(s, "user_id", "event_id", "event_type"), "complete")
+
+
+@query("t06_rate_stream")
+def _(t, spark):
+    from docledger.streaming import jobs as streams
+
+    return _streamed(t, spark, lambda s: streams.rate_limit(s, "user_id", "long", "event_id", most=2, seconds=86400, forget=False), "append")
+
+
+def _streamed(t, spark, of, mode: str):
+    """Runs a stream over the events' files to its end, through Parquet or memory, and gives what it wrote."""
+    import tempfile
+    import uuid
+
+    from pyspark.sql import types as T
+
+    source = t("events")
+    folder, _, name = source.inputFiles()[0].rpartition("/")
+    stream = spark.readStream.schema(T.StructType(source.schema.fields)).option("pathGlobFilter", name if name.startswith("events") else "*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    run = uuid.uuid4().hex
+    made = of(stream)
+    if mode == "append":
+        out = f"{shared}/stream-{run}"
+        made.writeStream.outputMode(mode).option("checkpointLocation", f"{shared}/stream-state-{run}").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        return spark.read.schema(made.schema).parquet(out)
+    name = f"stream_{run}"
+    made.writeStream.outputMode(mode).option("checkpointLocation", f"{shared}/stream-state-{run}").trigger(availableNow=True).format("memory").queryName(name).start().awaitTermination()
+    return spark.table(name)
