@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docledger.functions import dims, ids
@@ -12,40 +13,36 @@ PLACES = "001111100001212"
 MOST_PLACES = 6
 
 
-def _other(char: Column, kind: str) -> Column:
-    """The characters that one is read for, as far as its place allows."""
-    to_digit: dict[str, str] = {}
-    to_letter: dict[str, str] = {}
+def confusions() -> list[tuple[str, str, str]]:
+    """(kind of place, character seen, what it may stand for)."""
+    out = set()
     for digit, likes in dims.DIGIT_LIKE.items():
         for c in likes.upper():
-            to_digit[c] = to_digit.get(c, "") + digit
+            out |= {(k, c, digit) for k in "02"}
             if c.isalpha():
-                to_letter[digit] = to_letter.get(digit, "") + c
+                out |= {(k, digit, c) for k in "12"}
     for letter, likes in dims.LETTER_LIKE.items():
-        for c in likes.upper():
-            to_letter[c] = to_letter.get(c, "") + letter
-    table = to_digit if kind == "0" else to_letter if kind == "1" else {k: to_digit.get(k, "") + to_letter.get(k, "") for k in {*to_digit, *to_letter}}
-    return F.array_distinct(F.split(F.coalesce(F.element_at(dims.mapping(table), char), F.lit("")), ""))
+        out |= {(k, c, letter) for c in likes.upper() for k in "12"}
+    return sorted(x for x in out if x[1] != x[2])
 
 
 def candidates(rows: DataFrame, key: str, col: str) -> DataFrame:
     """key, candidate and cost: valid tax numbers one or two characters away, by characters that are read for one another.
 
-    At most MOST_PLACES places of a number can change, the first ones. Costs add up: 0.3 for the entity's place, 1.3 for others.
+    At most MOST_PLACES places of a number can change, the first ones. Costs add up: 0.3 for the place before the check
+    character, 1.3 for others.
     """
+    like = rows.sparkSession.sql("select * from values " + ", ".join(f"('{k}', '{c}', '{t}')" for k, c, t in confusions()) + " as v(kind, char, to)")
     seen = rows.select(key, F.upper(F.regexp_replace(col, "[\\s-]+", "")).alias("g")).where(F.length("g") == 15)
-
-    def swaps(i: int, kind: str) -> Column:
-        cost = 0.3 if i == 13 else 1.3
-        return F.transform(F.filter(_other(F.substring("g", i + 1, 1), kind), lambda x: x != ""), lambda x: F.struct(F.lit(i).alias("at"), x.alias("to"), F.lit(cost).alias("cost")))
-
-    places = [swaps(i, k) for i, k in enumerate(PLACES)]
-    held = seen.withColumn("swaps", F.flatten(F.slice(F.filter(F.array(*places), lambda p: F.size(p) > 0), 1, MOST_PLACES)))
-    put = lambda g, s: F.concat(F.substr(g, F.lit(1), s["at"]), s["to"], F.substr(g, s["at"] + 2, F.lit(15)))
-    one = held.select(key, "g", "swaps", F.explode("swaps").alias("a")).withColumn("c1", put(F.col("g"), F.col("a")))
-    two = one.select(key, "c1", "a", F.explode(F.filter("swaps", lambda s: s["at"] > F.col("a.at"))).alias("b"))
-    made = one.select(key, F.col("c1").alias("candidate"), F.col("a.cost").alias("cost")).union(two.select(key, put(F.col("c1"), F.col("b")), F.col("a.cost") + F.col("b.cost")))
-    return made.where(ids.gstin_valid(F.col("candidate"))).groupBy(key, "candidate").agg(F.min("cost").alias("cost"))
+    chars = seen.select(key, "g", F.posexplode(F.split("g", "")).alias("at", "char")).withColumn("kind", F.substr(F.lit(PLACES), F.col("at") + 1, F.lit(1)))
+    swaps = chars.join(F.broadcast(like), ["kind", "char"]).withColumn("place", F.dense_rank().over(W.partitionBy(key).orderBy("at"))).where(F.col("place") <= MOST_PLACES)
+    swaps = swaps.select(key, "g", "at", "to", F.when(F.col("at") == 13, 0.3).otherwise(1.3).alias("cost"))
+    put = lambda g, at, to: F.concat(F.substr(g, F.lit(1), at), to, F.substr(g, at + 2, F.lit(15)))
+    one = swaps.select(key, put(F.col("g"), F.col("at"), F.col("to")).alias("candidate"), "at", "cost")
+    two = one.join(swaps.select(key, F.col("at").alias("b_at"), F.col("to").alias("b_to"), F.col("cost").alias("b_cost")), key).where("at < b_at")
+    made = one.select(key, "candidate", "cost").union(two.select(key, put(F.col("candidate"), F.col("b_at"), F.col("b_to")), F.col("cost") + F.col("b_cost")))
+    # Grouped first: the checksum then reads a finished column, not the expression that makes it.
+    return made.groupBy(key, "candidate").agg(F.min("cost").alias("cost")).where(ids.gstin_valid(F.col("candidate")))
 
 
 def decide(made: DataFrame, key: str, independent: DataFrame | None = None) -> DataFrame:

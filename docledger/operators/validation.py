@@ -58,16 +58,29 @@ def _blank(name: str) -> Column:
     return F.col(name).isNull() | (F.col(name).cast("string") == "")
 
 
+def with_gstin(head: DataFrame) -> DataFrame:
+    """What the rules ask of both tax numbers, once: formed, state known, checksum right."""
+    for party in ("supplier", "buyer"):
+        head = head.withColumn(f"_{party}_n", ids.gstin_normal(F.col(f"{party}_gstin")))
+        x = F.col(f"_{party}_n")
+        head = head.withColumns({
+            f"_{party}_formed": F.coalesce(x.rlike(ids.GSTIN), F.lit(False)),
+            f"_{party}_state": F.coalesce(F.substring(x, 1, 2).isin(*dims.STATE_CODES), F.lit(False)),
+            f"_{party}_sum": F.coalesce(ids.gstin_check(F.substring(x, 1, 14)) == F.substring(x, 15, 1), F.lit(False)),
+        })
+    return head
+
+
 def header_checks(as_of: Column) -> list[Column]:
+    """For headers with the columns of with_gstin()."""
     c = F.col
     no_tax_doc = F.coalesce(c("document_type").isin("bill_of_supply", "composition"), F.lit(False))
     out = []
     for party in ("supplier", "buyer"):
-        x, path = c(f"{party}_gstin"), f"invoice.{party}_gstin"
-        given, formed = ~_blank(f"{party}_gstin"), ids.gstin_parts(x).isNotNull()
+        path, given, formed = f"invoice.{party}_gstin", ~_blank(f"{party}_gstin"), c(f"_{party}_formed")
         out.append(F.when(given, check("GSTIN_FORMAT", "error", formed, path)))
-        out.append(F.when(given & formed, check("GSTIN_STATE_CODE", "error", F.substring(ids.gstin_normal(x), 1, 2).isin(*dims.STATE_CODES), path)))
-        out.append(F.when(given, check("GSTIN_CHECKSUM", "error", F.coalesce(formed & (ids.gstin_check(F.substring(x, 1, 14)) == F.substring(x, 15, 1)), F.lit(False)), path)))
+        out.append(F.when(given & formed, check("GSTIN_STATE_CODE", "error", c(f"_{party}_state"), path)))
+        out.append(F.when(given, check("GSTIN_CHECKSUM", "error", formed & c(f"_{party}_sum"), path)))
     out.append(F.when(_blank("supplier_gstin") & ~no_tax_doc, check("SUPPLIER_GSTIN_MISSING", "error", False, "invoice.supplier_gstin")))
     out.append(F.when(_blank("buyer_gstin"), check("BUYER_GSTIN_MISSING", "info", True, "invoice.buyer_gstin")))
     out.append(F.when(_blank("invoice_no"), check("INVOICE_NUMBER_MISSING", "error", False, "invoice.invoice_no")))
@@ -128,7 +141,7 @@ def line_checks() -> list[Column]:
 
 
 def _exploded(df: DataFrame, checks: list[Column]) -> DataFrame:
-    rows = df.select("record", F.explode(F.filter(F.array(*[x.cast(CHECK) for x in checks]), lambda x: x.isNotNull())).alias("c"))
+    rows = df.select("record", F.explode(F.array_compact(F.array(*checks))).alias("c"))
     return rows.select("record", "c.*").withColumn("difference", F.abs(F.col("actual") - F.col("expected")))
 
 
@@ -138,7 +151,7 @@ def checks(headers: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
     Records of `headers` only; a line's checks need its header. Lines meet headers by one shuffle on the record.
     """
     head, body = conform(headers, HEADER_TYPES), conform(lines, LINE_TYPES)
-    of_head = _exploded(head, header_checks(F.lit(as_of).cast("date")))
+    of_head = _exploded(with_gstin(head), header_checks(F.lit(as_of).cast("date")))
     slim = head.select("record", F.col("pos").alias("h_pos"), F.col("supplier_gstin").alias("h_supplier"), F.col("invoice_date").alias("h_date"), F.col("price_includes_tax").alias("h_inclusive"))
     of_lines = _exploded(body.join(slim, "record"), line_checks())
     sums = body.groupBy("record").agg(F.sum("taxable").alias("lines_taxable")).join(head.select("record", "taxable"), "record")
