@@ -151,11 +151,11 @@ def checks(headers: DataFrame, lines: DataFrame, as_of: str) -> DataFrame:
     Records of `headers` only; a line's checks need its header. Lines meet headers by one shuffle on the record.
     """
     head, body = conform(headers, HEADER_TYPES), conform(lines, LINE_TYPES)
-    of_head = _exploded(with_gstin(head), header_checks(F.lit(as_of).cast("date")))
+    sums = body.groupBy("record").agg(F.sum("taxable").alias("lines_taxable"))
+    whole = with_gstin(head.join(sums, "record", "left"))
+    of_head = _exploded(whole, [*header_checks(F.lit(as_of).cast("date")), money_check("SUM_TAXABLE", F.col("lines_taxable"), F.col("taxable"), "invoice.taxable_value")])
     slim = head.select("record", F.col("pos").alias("h_pos"), F.col("supplier_gstin").alias("h_supplier"), F.col("invoice_date").alias("h_date"), F.col("price_includes_tax").alias("h_inclusive"))
-    of_lines = _exploded(body.join(slim, "record"), line_checks())
-    sums = body.groupBy("record").agg(F.sum("taxable").alias("lines_taxable")).join(head.select("record", "taxable"), "record")
-    return of_head.unionByName(of_lines).unionByName(_exploded(sums, [money_check("SUM_TAXABLE", F.col("lines_taxable"), F.col("taxable"), "invoice.taxable_value")]))
+    return of_head.unionByName(_exploded(body.join(slim, "record"), line_checks()))
 
 
 def summary(found: DataFrame) -> DataFrame:

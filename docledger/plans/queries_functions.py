@@ -237,8 +237,7 @@ def _(t, spark):
 def _(t, spark):
     from docledger.operators import repair
 
-    bad = t("sup_ids").select("s_suppkey", "gstin", F.expr("concat(substr(gstin, 1, 14), case when substr(gstin, 15, 1) = '0' then 'O' when substr(gstin, 15, 1) = 'O' then '0' else substr(gstin, 15, 1) end)").alias("seen"))
-    bad = bad.withColumn("seen", F.expr("concat(substr(seen, 1, 7), translate(substr(seen, 8, 1), '0123456789', 'OIZEASGTBq'), substr(seen, 9))")).withColumn("seen", F.upper("seen"))
+    bad = t("sup_ids").select("s_suppkey", "gstin").withColumn("seen", F.expr("concat(substr(gstin, 1, 7), translate(substr(gstin, 8, 1), '0123456789', 'OIZEASGTBQ'), substr(gstin, 9))"))
     fixed = repair.candidates(bad.select("s_suppkey", "seen"), "s_suppkey", "seen")
     return bad.join(fixed.groupBy("s_suppkey").agg(F.collect_set("candidate").alias("c")), "s_suppkey", "left").select("s_suppkey", (F.coalesce(F.array_contains("c", F.col("gstin")), F.lit(False)) | (F.col("seen") == F.col("gstin"))).alias("found"))
 
