@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -49,7 +50,7 @@ def free(*dfs: DataFrame) -> None:
     for df in dfs:
         jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if folder.startswith(("file:", "hdfs:", "s3", "abfs", "gs:", "/")) and "-" in folder.rpartition("/")[2]:
+            if re.search(r"-[0-9a-f]{32}$", folder):  # a name that only materialize() gives
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(hadoop).delete(path, True)
 
