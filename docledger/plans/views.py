@@ -46,8 +46,9 @@ from orders o join customer c on o.o_custkey = c.c_custkey
 left join (select l_orderkey, min(l_suppkey) as first_supp from lineitem group by l_orderkey) f on f.l_orderkey = o.o_orderkey
 left join sup_ids s on s.s_suppkey = f.first_supp"""
 
+#: Join hints are comments to DuckDB. Lines and orders are the large sides: shuffled on their key, never broadcast.
 VIEWS["inv_line_tax"] = """
-select l.*, p.pos, p.supplier_state, coalesce(p.pos = p.supplier_state, false) as intra,
+select /*+ merge(l, p) */ l.*, p.pos, p.supplier_state, coalesce(p.pos = p.supplier_state, false) as intra,
        case when p.pos = p.supplier_state then cast(round(taxable * rate * 0.005, 2) as decimal(18,2)) end as cgst,
        case when p.pos = p.supplier_state then cast(round(taxable * rate * 0.005, 2) as decimal(18,2)) end as sgst,
        case when p.pos = p.supplier_state then null else cast(round(taxable * rate * 0.01, 2) + case when l_partkey % 50 = 0 then 3 when l_partkey % 50 = 1 then 0.30 else 0 end as decimal(18,2)) end as igst,
@@ -55,7 +56,7 @@ select l.*, p.pos, p.supplier_state, coalesce(p.pos = p.supplier_state, false) a
 from inv_lines l join inv_parties p on p.o_orderkey = l.l_orderkey"""
 
 VIEWS["inv_headers"] = """
-select o.o_orderkey, concat('INV-', lpad(cast(o.o_orderkey as string), 8, '0'), case when o.o_orderkey % 97 = 0 then '-REVISED' else '' end) as invoice_no,
+select /*+ merge(o, t) */ o.o_orderkey, concat('INV-', lpad(cast(o.o_orderkey as string), 8, '0'), case when o.o_orderkey % 97 = 0 then '-REVISED' else '' end) as invoice_no,
        case when o.o_orderkey % 101 = 0 then null else cast(o.o_orderdate as date) end as invoice_date,
        case when o.o_orderkey % 5 = 0 then 'bill_of_supply' else 'tax_invoice' end as document_type,
        p.supplier_name, p.supplier_gstin, p.supplier_state, case when o.o_orderkey % 13 = 0 then null else p.pos end as pos, o.o_custkey,
