@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import bpe, decontaminate, langid, pii, simhash
+from docledger.llm import bpe, decontaminate, langid, minhash, pii
 from docledger.llm.common import materialize, table
 from docledger.llm.queries import SURROGATE_KEY, held_out
 
@@ -29,9 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group. Rows of one id are one document; rows without an id stay."""
-    classes = simhash.near_duplicates(docs)
-    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    """Drops the documents that are alike to one of a smaller id (5-word shingles, Jaccard 0.8 or more). Rows of one id are one document; rows without an id stay."""
+    gone = materialize(minhash.duplicates(docs), "pipeline-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

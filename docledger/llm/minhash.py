@@ -1,0 +1,126 @@
+"""Near-duplicate documents by the Jaccard similarity of their 5-word shingles.
+
+Candidates share a band of min-hashes; every candidate is verified on the whole shingle sets. Documents of one band meet
+their first members only: a few of them in the first round, more in each further one, without those that were linked before. So
+a large group is not written as all its pairs, and whoever fails at the first member still meets the next ones.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docledger.llm.common import arrow_limits, materialize
+from docledger.llm.passages import shingles
+
+#: A pair of similarity 0.8 shares none of the bands with a probability of (1 - 0.8 ** 4) ** 20, 3 in 100,000.
+SIMILARITY, BANDS, ROWS, SEED = 0.8, 20, 4, 42
+#: Members that the others of a band meet: 1 in the first round, then so many times more in each.
+MORE = 8
+
+_draw = np.random.Generator(np.random.PCG64(SEED))
+FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+SHIFTS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct 5-word shingles, sorted; of a shorter text all words as one; none without words."""
+    found = shingles(text)
+    if not len(found):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    return np.unique(found)
+
+
+def digest(members: np.ndarray) -> int:
+    """Names a set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes(), SEED)).astype(np.int64))
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """A signed long for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(members), 4096):
+        least = np.minimum(least, (members[i : i + 4096, None] * FACTORS + SHIFTS).min(0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _sketch(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        keys = [bands(x).tolist() if len(x) else [] for x in sets]
+        yield pa.record_batch([batch.column(0), pa.array(list(map(digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
+
+
+def _texts(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        kept = [(d, pack((t or "").encode("utf-8", "surrogatepass"))) for d, t in texts if digest(shingle_set(t)) == d]
+        if kept:
+            yield pa.record_batch([pa.array([d for d, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["digest", "text"])
+
+
+def _verify(similarity: float):
+    def run(batches):
+        plain = lambda z: shingle_set(zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass"))
+        last = members = None
+        for batch in batches:
+            good = []
+            for v, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if last != v:
+                    last, members = v, plain(y)
+                good.append(jaccard(plain(x), members) >= similarity)
+            yield batch.select(["digest", "lead"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The ids (doc_id) to drop, each once.
+
+    Each has a Jaccard similarity of `similarity` or more to a document of a smaller id; of the others, no two that share a
+    band have. Texts without words are alike. Rows without an id count for nothing; rows of one id never drop each other.
+    """
+    arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_sketch, f"doc_id {kind}, digest long, n long, bands array<long>"), "minhash")
+    distinct = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "minhash-distinct")
+    copies = prints.join(distinct.select("digest", "least"), "digest").where("doc_id > least").select("doc_id")
+    entries = distinct.select(F.explode("bands").alias("band"), "least", "digest", "n")
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    active = materialize(entries.join(shared, "band"), "minhash-active")
+    needed = active.select("digest", F.col("least").alias("doc_id")).distinct()
+    texts = materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(_texts, "digest long, text binary"), "minhash-texts")
+    gone, lead = [], 1
+    while not active.isEmpty():
+        if lead == 1:
+            heads = active.groupBy("band").agg(F.min(F.struct("least", "digest", "n")).alias("h")).select("band", F.col("h.least").alias("lead_least"), F.col("h.digest").alias("lead"), F.col("h.n").alias("lead_n"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("band").orderBy("least", "digest"))
+            heads = active.withColumn("nth", nth).where(F.col("nth") <= lead).select("band", F.col("least").alias("lead_least"), F.col("digest").alias("lead"), F.col("n").alias("lead_n"))
+        heads = materialize(heads, "minhash-heads")
+        fits = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * (similarity - 1e-9)  # else they cannot be alike
+        pairs = active.join(heads, "band").where(F.col("lead_least") < F.col("least")).where(fits).select("digest", "lead").distinct()
+        full = pairs.join(texts, "digest").join(texts.select(F.col("digest").alias("lead"), F.col("text").alias("other")), "lead").select("digest", "lead", "text", "other")
+        linked = materialize(full.mapInArrow(_verify(similarity), "digest long, lead long").select("digest").distinct(), "minhash-linked")
+        gone.append(linked)
+        # A linked document is dropped, so it need not meet any more; a head has met all others of its band.
+        rest = active.join(linked, "digest", "left_anti").join(heads.select("band", F.col("lead").alias("digest")), ["band", "digest"], "left_anti")
+        alive = rest.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+        active = materialize(rest.join(alive, "band").select("band", "least", "digest", "n"), "minhash-active")
+        lead *= MORE
+    out = copies
+    for linked in gone:
+        out = out.union(prints.join(linked, "digest").select("doc_id"))
+    return out.distinct()

@@ -1,0 +1,40 @@
+import random
+
+import corpus_pipeline
+from docledger.llm import minhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_duplicates_stage(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for family in range(25):
+        base = [word() for _ in range(rng.randrange(40, 200))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                text[rng.randrange(len(text))] = word()
+            rows.append(" ".join(text))
+    rows += ["one two", "One  TWO", "one three", rows[0], "", None]
+    rng.shuffle(rows)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(rows)] + [(None, rows[0], "en", "s", 1), (0, rows[0], "en", "s", 1), (0, "other text of the same id", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert None in kept and 0 in kept
+    texts = {i: brute(t) for i, t, *_ in rows if i}
+    assert not [(a, b) for a in kept for b in kept if a and b and a < b and alike(texts[a], texts[b])]
+    firsts = [brute(t) for i, t, *_ in rows if i == 0]
+    assert all(any(alike(texts[a], t) for t in [*firsts, *(texts[b] for b in texts if b < a)]) for a in texts if a not in kept)
+    assert not [a for a in kept if a and any(alike(texts[a], t) for t in firsts)]
+    assert minhash.duplicates(docs.limit(0)).count() == 0
