@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-Quote marks at the starts of lines give each line its level. Quoted lines, and all lines of a level together, are hashed
-in normal form and joined to the first message that says them; a message replies to the original that its least quoted
+Quote marks at the starts of lines give each line its level. Quoted lines, blocks and paragraphs, and all lines of a level
+together, are hashed in normal form and joined to the first message that says them as a line, paragraph, run of paragraphs or
+whole; a message replies to the original that its least quoted
 level points to. Threads are ordered by reply depth, and their texts no longer hold the quotes.
 """
 
@@ -14,6 +15,8 @@ from docledger.llm.common import free, materialize
 
 #: Shortest normal form of a line that links, and of a passage that links to another conversation.
 SHORTEST, SHORTEST_ABROAD = 12, 40
+#: Longest run of paragraphs of an original that counts as a passage, beside the whole message.
+RUN = 32
 MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 #: Fixed value: a line that only says who is quoted below.
 ATTRIBUTION = r"(?i)^\s*(?:on|am|le|el)\b.{0,300}(?:wrote|schrieb|a écrit|escribió).{0,80}:\s*$"
@@ -48,12 +51,38 @@ def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("own", F.when(F.col("n_quoted") == 0, text).otherwise(F.regexp_replace(_join(own), r"^\s+|\s+$", "")))
 
 
+def _cut_at(lines: Column, begins) -> Column:
+    """array<array<line>>: the lines in pieces; begins(line, the one before) says where a piece starts."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | begins(x, F.get(lines, i - 1)), i + 1)), lambda i: i.isNotNull())
+    return F.transform(starts, lambda a, k: F.slice(lines, a, F.coalesce(F.get(starts, k + 1), F.size(lines) + 1) - a))
+
+
+def _blank(x: Column) -> Column:
+    return F.trim(x["body"]) == ""
+
+
+def _passages(lines: Column, begins) -> Column:
+    return F.transform(_cut_at(lines, begins), lambda p: F.struct(F.get(p, 0)["level"].alias("level"), normal(_join(p)).alias("norm")))
+
+
 def _units(lines: Column, levels: Column, least: int) -> Column:
     """array<struct<level, norm>>: each long enough line from level `least` on, and all lines of each level together."""
     kept = F.filter(lines, lambda x: x["level"] >= least)
     alone = F.filter(F.transform(kept, lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("norm"))), lambda u: F.length(u["norm"]) >= SHORTEST)
     whole = F.transform(levels, lambda k: F.struct(k.alias("level"), normal(_join(F.filter(lines, lambda x: x["level"] == k))).alias("norm")))
-    return F.array_distinct(F.concat(alone, F.filter(whole, lambda u: u["norm"] != "")))
+    blocks = _passages(lines, lambda x, y: x["level"] != y["level"])
+    paragraphs = F.filter(_passages(lines, lambda x, y: (x["level"] != y["level"]) | (_blank(x) != _blank(y))), lambda u: F.length(u["norm"]) >= SHORTEST)
+    parts = F.filter(F.concat(blocks, paragraphs), lambda u: u["level"] >= least)
+    return F.array_distinct(F.concat(alone, F.filter(F.concat(whole, parts), lambda u: u["norm"] != "")))
+
+
+def _runs(lines: Column) -> Column:
+    """array<string>: the normal forms of all runs of up to RUN paragraphs."""
+    paragraphs = F.filter(F.transform(_cut_at(lines, lambda x, y: _blank(x) != _blank(y)), lambda p: normal(_join(p))), lambda n: n != "")
+    n = F.size(paragraphs)
+    longest = lambda i: F.least(F.lit(RUN), n - i)
+    runs = F.transform(paragraphs, lambda _, i: F.transform(F.sequence(F.lit(1), longest(i)), lambda k: F.array_join(F.slice(paragraphs, i + 1, k), " ")))
+    return F.filter(F.flatten(runs), lambda x: F.length(x) >= SHORTEST)
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -69,7 +98,7 @@ def link(messages: DataFrame) -> DataFrame:
     quotes = quoting.withColumn("levels", levels).select("conv", "turn", "digest", F.explode(_units(F.col("lines"), F.col("levels"), 1)).alias("u"))
     quotes = quotes.select("conv", "turn", "digest", "u.level", F.length("u.norm").alias("size"), F.md5(F.col("u.norm").cast("binary")).alias("hash"))
     own = known.where("own <> ''").withColumn("own_lines", F.transform(F.split("own", r"\r\n|\r|\n"), lambda x: F.struct(F.lit(0).alias("level"), x.alias("body"))))
-    said = own.select("conv", "turn", F.explode(_units(F.col("own_lines"), F.array(F.lit(0)), 0)["norm"]).alias("norm"))
+    said = own.select("conv", "turn", F.explode(F.array_distinct(F.concat(_units(F.col("own_lines"), F.array(F.lit(0)), 0)["norm"], _runs(F.col("own_lines"))))).alias("norm"))
     said = said.select("conv", "turn", F.md5(F.col("norm").cast("binary")).alias("hash"))
     # First sayers only, by a partial minimum: a passage that everybody repeats has one original for each conversation.
     here = materialize(said.groupBy("conv", "hash").agg(F.min("turn").alias("o_turn")), "quotes-here")
