@@ -33,8 +33,8 @@ def candidates(keys: DataFrame, jobs: DataFrame, exclude_job: str | None = None)
 OUT = ["a_job_id", "a_doc_index", "b_job_id", "b_doc_index"]
 
 
-def exact_file(keys: DataFrame) -> DataFrame:
-    a, b = sides(keys)
+def exact_file(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
+    a, b = sides(keys, against)
     return _pair(a, b, ["sha256"]).select(*OUT, F.lit("exact_file").alias("kind"), F.lit(1.0).alias("score"), F.lit("sha256").alias("reason"))
 
 
@@ -42,9 +42,9 @@ def _same(name: str) -> Column:
     return F.coalesce(F.col(f"a_{name}") == F.col(f"b_{name}"), F.lit(False))
 
 
-def business_key(keys: DataFrame) -> DataFrame:
+def business_key(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
     """Same supplier and number, and the same date or total; the date is the reason if both are."""
-    a, b = sides(keys)
+    a, b = sides(keys, against)
     reason = F.when(_same("invoice_date"), "invoice_date").otherwise("total_amount")
     return _pair(a, b, ["supplier_gstin", "invoice_no_norm"], _same("invoice_date") | _same("total_amount")).select(*OUT, F.lit("business_key").alias("kind"), F.lit(0.95).alias("score"), reason.alias("reason"))
 
@@ -52,13 +52,13 @@ def business_key(keys: DataFrame) -> DataFrame:
 DAYS = 3
 
 
-def near(keys: DataFrame, least: float = 85.0) -> DataFrame:
+def near(keys: DataFrame, least: float = 85.0, against: DataFrame | None = None) -> DataFrame:
     """Same supplier, dates within three days, totals within a cent, and numbers alike.
 
     Dates fall into buckets of four days and meet in their own and both neighbouring ones, so that a large supplier does not
     become one group; the built-in bounds prune before the similarity is measured in Arrow batches.
     """
-    a, b = sides(keys)
+    a, b = sides(keys, against)
     width = DAYS + 1
     a = a.withColumn("bucket", F.floor(F.datediff("a_invoice_date", F.lit("1970-01-01")) / width)).withColumn("cents", F.col("a_total_amount") * 100)
     b = b.withColumn("own", F.floor(F.datediff("b_invoice_date", F.lit("1970-01-01")) / width)).withColumn("b_bucket", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
@@ -79,14 +79,14 @@ def _grams(col: str, most: int) -> Column:
     return F.concat(*[of(k) for k in range(1, most + 1)])
 
 
-def near_without_supplier(keys: DataFrame, number: float = 85.0, name: float = 90.0) -> DataFrame:
+def near_without_supplier(keys: DataFrame, number: float = 85.0, name: float = 90.0, against: DataFrame | None = None) -> DataFrame:
     """Documents without a tax number, by number and name alike and totals close or missing.
 
     Candidates must share a piece: a number of length n that is alike to 85 keeps one of its pieces whole, since edits can
     harm no more pieces than there are; so the join is on pieces, not on all pairs.
     """
-    rows = keys.where("supplier_gstin is null and invoice_no_norm is not null and supplier_name is not null")
-    a, b = sides(rows)
+    bare = "supplier_gstin is null and invoice_no_norm is not null and supplier_name is not null"
+    a, b = sides(keys.where(bare), None if against is None else against.where(bare))
     # A partner of length m holds at most (1 - t) * (n + m) insertions and deletions, and is at most n * (2 - t) / t long.
     t = number / 100
     room = F.floor(F.length("a_invoice_no_norm") * (1 - t) * 2 / t).cast("int")
@@ -107,9 +107,12 @@ def near_without_supplier(keys: DataFrame, number: float = 85.0, name: float = 9
     return met.select(*OUT, F.lit("near").alias("kind"), F.greatest(F.lit(0.60), F.least(F.lit(0.90), (F.col("r1") + F.col("r2")) / 200)).alias("score"), F.lit("supplier_name").alias("reason"))
 
 
-def matches(keys: DataFrame) -> DataFrame:
-    """The first kind that holds of each pair: exact file, business key, near."""
-    every = exact_file(keys).unionByName(business_key(keys)).unionByName(near(keys))
+def matches(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
+    """The first kind that holds of each pair: exact file, business key, near; an empty tax number is a missing one. against: the other side, if not keys."""
+    missing = F.nullif("supplier_gstin", F.lit(""))
+    keys = keys.withColumn("supplier_gstin", missing)
+    against = keys if against is None else against.withColumn("supplier_gstin", missing)
+    every = exact_file(keys, against).unionByName(business_key(keys, against)).unionByName(near(keys, against=against)).unionByName(near_without_supplier(keys, against=against))
     order = F.when(F.col("kind") == "exact_file", 1).when(F.col("kind") == "business_key", 2).otherwise(3)
     best = every.groupBy(*OUT).agg(F.min_by(F.struct("kind", "score", "reason"), order).alias("m"))
     return best.select(*OUT, "m.kind", "m.score", "m.reason")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.operators import dedupe
 from docledger.sources import files
 
 
@@ -57,7 +58,7 @@ def rate_limit(stream: DataFrame, client: str, client_type: str, seq: str, ts: s
 
 
 def incremental_matches(stream: DataFrame, table: str, path: str, checkpoint: str, out: str):
-    """Business-key matches of new documents with all before them, then the new ones join the table of keys.
+    """Matches of new documents with all before them and with each other (once: a_job_id is the greater), then the new ones join the table of keys.
 
     Each batch reads the keys so far, writes its matches and its keys under its own batch number, so that a batch that runs
     again replaces what it wrote.
@@ -68,10 +69,9 @@ def incremental_matches(stream: DataFrame, table: str, path: str, checkpoint: st
         new = df.cache()
         new.write.mode("overwrite").parquet(f"{path}/{table}/batch={number:09d}")
         old = spark.read.parquet(f"{path}/{table}").where(F.col("batch") < number).drop("batch")
-        a, b = new.alias("a"), old.alias("b")
-        cond = (F.col("a.supplier_gstin") == F.col("b.supplier_gstin")) & (F.col("a.invoice_no_norm") == F.col("b.invoice_no_norm")) & (F.col("a.job_id") != F.col("b.job_id"))
-        same = (F.col("a.invoice_date") == F.col("b.invoice_date")) | (F.col("a.total_amount") == F.col("b.total_amount"))
-        found = a.join(b, cond & F.coalesce(same, F.lit(False))).select(F.col("a.job_id").alias("a_job_id"), F.col("b.job_id").alias("b_job_id"))
+        before = dedupe.matches(new, old)
+        beside = dedupe.matches(new).where("a_job_id > b_job_id")
+        found = before.unionByName(beside).select("a_job_id", "b_job_id").distinct()
         found.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
         new.unpersist()
 
