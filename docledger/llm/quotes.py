@@ -66,7 +66,7 @@ def _passages(lines: Column, begins) -> Column:
 
 
 def _units(lines: Column, levels: Column, least: int) -> Column:
-    """array<struct<level, norm>>: each long enough line from level `least` on, and all lines of each level together."""
+    """array<struct<level, norm>>: from level `least` on each long enough line, each block of a level and each paragraph of a block; and all lines of each level together."""
     kept = F.filter(lines, lambda x: x["level"] >= least)
     alone = F.filter(F.transform(kept, lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("norm"))), lambda u: F.length(u["norm"]) >= SHORTEST)
     whole = F.transform(levels, lambda k: F.struct(k.alias("level"), normal(_join(F.filter(lines, lambda x: x["level"] == k))).alias("norm")))
@@ -89,7 +89,8 @@ def link(messages: DataFrame) -> DataFrame:
     """conv, turn, digest and the original (conv, turn) of every message whose quotes were found.
 
     messages: conv, turn, digest (of role and text), lines, own. The original is the first message with the passage in
-    the same conversation and before it; failing that, for a long passage, the first one elsewhere. Of several originals the
+    the same conversation and before it; failing that, for a passage of SHORTEST_ABROAD characters, the first one elsewhere, at any
+    turn: turns of two conversations have no order. Of a cycle that so arises the least message replies to nothing. Of several originals the
     one of the least quote level counts, then the one with more quoted characters, then the earliest.
     """
     known = messages.where("conv is not null and turn is not null")
@@ -102,23 +103,53 @@ def link(messages: DataFrame) -> DataFrame:
     said = said.select("conv", "turn", F.md5(F.col("norm").cast("binary")).alias("hash"))
     # First sayers only, by a partial minimum: a passage that everybody repeats has one original for each conversation.
     here = materialize(said.groupBy("conv", "hash").agg(F.min("turn").alias("o_turn")), "quotes-here")
-    anywhere = here.groupBy("hash").agg(F.min(F.struct("o_turn", "conv")).alias("first"))
-    anywhere = materialize(anywhere.select("hash", F.col("first.conv").alias("o_conv"), F.col("first.o_turn").alias("o_turn")), "quotes-anywhere")
+    first_of = lambda df: df.groupBy("hash").agg(F.min(F.struct("o_turn", "conv")).alias("f")).select("hash", F.col("f.conv").alias("o_conv"), F.col("f.o_turn").alias("o_turn"))
+    first = materialize(first_of(here), "quotes-first")
+    # The first of another conversation too, for the quotes in the conversation of the first.
+    second = first_of(here.join(first.select("hash", "o_conv"), "hash").where("conv <> o_conv").select("conv", "hash", "o_turn"))
+    anywhere = materialize(first.union(second), "quotes-anywhere")
     quotes = materialize(quotes, "quotes")
     near = quotes.join(here, ["conv", "hash"]).where("o_turn < turn").select("conv", "turn", "digest", "level", "size", F.lit(0).alias("abroad"), F.col("conv").alias("o_conv"), "o_turn")
-    far = quotes.where(F.col("size") >= SHORTEST_ABROAD).join(anywhere, "hash").where("o_conv <> conv and o_turn < turn").select("conv", "turn", "digest", "level", "size", F.lit(1).alias("abroad"), "o_conv", "o_turn")
+    far = quotes.where(F.col("size") >= SHORTEST_ABROAD).join(anywhere, "hash").where("o_conv <> conv").select("conv", "turn", "digest", "level", "size", F.lit(1).alias("abroad"), "o_conv", "o_turn")
     votes = near.union(far).groupBy("conv", "turn", "digest", "abroad", "level", "o_conv", "o_turn").agg(F.sum("size").alias("size"))
     rank = F.struct("abroad", "level", -F.col("size"), "o_turn", "o_conv")
-    return votes.groupBy("conv", "turn", "digest").agg(F.min_by(F.struct("o_conv", "o_turn"), rank).alias("o")).select("conv", "turn", "digest", "o.o_conv", "o.o_turn")
+    found = votes.groupBy("conv", "turn", "digest").agg(F.min_by(F.struct("o_conv", "o_turn"), rank).alias("o")).select("conv", "turn", "digest", "o.o_conv", "o.o_turn")
+    return without_cycles(materialize(found, "quotes-found"))
+
+
+def _parents(links: DataFrame) -> DataFrame:
+    """conv, turn, a_conv, a_turn: of messages that share conv and turn the least original counts."""
+    return links.groupBy("conv", "turn").agg(F.min(F.struct("o_turn", "o_conv")).alias("o")).select("conv", "turn", F.col("o.o_conv").alias("a_conv"), F.col("o.o_turn").alias("a_turn"))
+
+
+def without_cycles(links: DataFrame) -> DataFrame:
+    """The links without those of the least message of each cycle.
+
+    Pointers double and those that reach an end fall out; after as many steps as there are links only what leads into a cycle is
+    left, and its pointers stand on the cycle with the least message of it.
+    """
+    if links.where("o_conv <> conv and o_turn >= turn").isEmpty():
+        return links
+    walk = materialize(_parents(links).withColumn("low", F.struct("turn", "conv")), "quotes-walk")
+    steps, most = 1, walk.count()
+    over = lambda w: w.select(F.col("conv").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("b_conv"), F.col("a_turn").alias("b_turn"), F.col("low").alias("b_low"))
+    while steps <= most:
+        new = materialize(walk.join(over(walk), ["a_conv", "a_turn"]).select("conv", "turn", F.col("b_conv").alias("a_conv"), F.col("b_turn").alias("a_turn"), F.least("low", "b_low").alias("low")), "quotes-walk")
+        free(walk)
+        walk, steps = new, 2 * steps
+        if walk.isEmpty():
+            return links
+    cut = walk.join(over(walk), ["a_conv", "a_turn"]).select(F.col("b_low.conv").alias("conv"), F.col("b_low.turn").alias("turn")).distinct()
+    return links.join(cut, ["conv", "turn"], "left_anti")
 
 
 def depths(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """conv, turn, root_conv, root_turn and depth of every message that replies, by pointer doubling.
 
-    Links lead to smaller turns, so there are no cycles; rounds grow with the logarithm of the depth. Of messages that share
-    conv and turn the least original counts.
+    The links have no cycles (see without_cycles); rounds grow with the logarithm of the depth. Of messages that share conv and
+    turn the least original counts.
     """
-    paths = materialize(links.groupBy("conv", "turn").agg(F.min(F.struct("o_turn", "o_conv")).alias("o")).select("conv", "turn", F.col("o.o_conv").alias("a_conv"), F.col("o.o_turn").alias("a_turn"), F.lit(1).alias("depth")), "quotes-paths")
+    paths = materialize(_parents(links).withColumn("depth", F.lit(1)), "quotes-paths")
     for _ in range(most_rounds):
         over = paths.select(F.col("conv").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("b_conv"), F.col("a_turn").alias("b_turn"), F.col("depth").alias("more"))
         new = paths.join(over, ["a_conv", "a_turn"], "left").select("conv", "turn", F.coalesce("b_conv", "a_conv").alias("a_conv"), F.coalesce("b_turn", "a_turn").alias("a_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
