@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.common import Shared, arrow_limits
 
-#: Edits allowed for each character of an item, shortest item (normalised) that is searched, characters of items in one block.
+#: Edits allowed for each character of an item, shortest item (normalised) that may have edits, characters of items in one block.
 RATE, SHORTEST, BLOCK_CHARS = 0.1, 20, 4_000_000
 
 MATCH = "array<struct<item_id:long,distance:int,budget:int>>"
@@ -60,7 +60,7 @@ def _myers(peq: dict[str, int], m: int, text: str, limit: int) -> int:
 
 
 class Matcher:
-    """Finds a block of items in texts. items: (item_id, text); an item shorter than SHORTEST is not searched."""
+    """Finds a block of items in texts. items: (item_id, text); an item shorter than SHORTEST is found as it is, between word bounds."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, shortest: int = SHORTEST):
         import ahocorasick
@@ -68,7 +68,11 @@ class Matcher:
         self.items, pieces = [], defaultdict(list)
         for item_id, text in items:
             text = normalise(text)
-            if len(text) < max(1, shortest):
+            if not text:
+                continue
+            if len(text) < shortest:
+                pieces[text].append((len(self.items), 0, True, "", None))
+                self.items.append((item_id, text, 0, {}))
                 continue
             budget = int(rate * len(text))
             # Pairs of pieces, so many that one of them has one edit at most; of its two pieces one has none then.
@@ -101,6 +105,10 @@ class Matcher:
                 best = found.get(k)
                 if best == 0:
                     continue
+                if budget is None:
+                    if not (_joins(text, begin) or _joins(text, end + 1)):
+                        found[k] = 0
+                    continue
                 if budget and not _beside(text, begin, end + 1, first, other):
                     continue
                 at = begin - offset
@@ -118,6 +126,11 @@ class Matcher:
         return sorted((self.items[k][0], d, self.items[k][2]) for k, d in found.items())
 
 
+def _joins(text: str, at: int) -> bool:
+    """Whether a word goes on from the character before a place to the one there."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 def _beside(text: str, begin: int, end: int, first: bool, other: str) -> bool:
     """Whether the piece beside a hit can agree but for one edit: its half next to the hit stands there, or its far half does, moved by one at most."""
     n, half = len(other), len(other) // 2
@@ -151,7 +164,8 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """array<struct<item_id, distance, budget>>: the items that occur in the text, with their least distance; never null.
 
     Both sides are compared in lower case with white space runs as one space. A null or empty text holds nothing. Items
-    with a null id or text, or shorter than SHORTEST characters, are not searched; repeated items count once; items of
+    with a null id or text, or without a character, are not searched; those shorter than SHORTEST must occur exactly and as
+    whole words; repeated items count once; items of
     one id and several texts give an entry for each text found.
     """
     arrow_limits(docs.sparkSession)
