@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of a column's texts; one number comes to the driver."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -253,14 +253,6 @@ def test_passages_with_edits(spark):
     assert len(got) >= 18
 
 
-def test_windows_pack():
-    rng = np.random.default_rng(1)
-    key = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64))
-    doc, at = rng.integers(-5, 5, 500), rng.integers(0, 70000, 500).astype(np.int32)
-    k, d, a = passages._unpack(passages._pack(key, doc, at), 500)
-    assert (k == key >> np.uint64(64 - passages.KEY_BITS)).all() and (d == doc).all() and (a == at).all()
-
-
 def test_language(spark):
     rng = random.Random(4)
     syllables = {"en": ["the", "ing", "tion", "wh", "er"], "fr": ["eau", "que", "oi", "é", "ment"]}
