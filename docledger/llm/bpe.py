@@ -7,7 +7,8 @@
 3. Reassembly. A block joins the ids back by word number, which puts them in the order of positions; decoding joins the
    ids with the table of token bytes.
 
-A frequent word crosses the shuffle once for a block, so no word is hot; the texts themselves are never shuffled.
+A frequent word crosses the shuffle once for a block, so no word is hot; neither the texts nor the packed pre-tokens are
+ever shuffled: blocks are written bucketed by their number, and the ids come to them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import Shared, arrow_limits, materialize
+from docledger.llm.common import Shared, arrow_limits, materialize, text_bytes
 
-BLOCK_TOKENS, LONG_TEXT, LEAST_BUCKETS, CHUNK = 6_000_000, 4_000_000, 32, 1 << 19
+#: Pre-tokens of a block; characters of a text beyond which no list of its pre-tokens is made; tokens unpacked at once.
+BLOCK_TOKENS, LONG_TEXT, CHUNK = 2_500_000, 500_000, 1 << 19
+#: Buckets of words: at least so many, and one for so many bytes of text.
+LEAST_BUCKETS, BUCKET_BYTES = 32, 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,8 +114,8 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(total, dtype=np.int64)
 
 
-def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType):
-    split = regex.compile(pattern)
+def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType, block_tokens: int):
+    split, long_text = regex.compile(pattern), LONG_TEXT
 
     def run(batches):
         number, task = 0, TaskContext.get().partitionId()
@@ -121,20 +125,24 @@ def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType):
         def flush():
             nonlocal number
             local = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
-            order = np.argsort(-np.bincount(local, minlength=len(seen)), kind="stable")  # frequent words get small numbers, which pack well
-            rank = np.empty(len(seen), np.uint32)
-            rank[order] = np.arange(len(seen), dtype=np.uint32)
-            every = list(seen)
-            words = [every[i].encode("utf-8") for i in order.tolist()]
+            streams.clear()
+            every = [w.encode("utf-8") for w in seen]
+            seen.clear()
+            order = np.argsort(-np.bincount(local, minlength=len(every)), kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(every), np.uint32)
+            rank[order] = np.arange(len(every), dtype=np.uint32)
+            words = [every[i] for i in order.tolist()]
+            del every
             buckets = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.uint32, len(words))
-            row = [[(task << 32) | number], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack_stream(rank[local])], [_pack(buckets)], [_pack_words(words)]]
+            np.take(rank, local, out=local)
+            row = [[(task << 32) | number], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack_stream(local)], [_pack(buckets)], [_pack_words(words)]]
             number += 1
             return pa.record_batch([pa.array(v, t.type) for v, t in zip(row, schema)], schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                if len(text) > LONG_TEXT:  # without a list of all its pre-tokens
+                if len(text) > long_text:  # without a list of all its pre-tokens
                     own = np.fromiter((seen.setdefault(m.group(), len(seen)) for m in split.finditer(text)), np.uint32)
                 else:
                     found = split.findall(text)
@@ -143,7 +151,7 @@ def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType):
                 counts.append(len(own))
                 streams.append(own)
                 tokens += len(own)
-                if tokens >= BLOCK_TOKENS or len(ids) >= 100_000:
+                if tokens >= block_tokens or len(ids) >= 100_000:
                     yield flush()
                     ids, counts, streams, seen, tokens = [], [], [], {}, 0
         if ids:
@@ -215,12 +223,14 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes) of every row.
 
     path: ranks file of a vocabulary that has all single bytes; it is read on the driver (its size is fixed) and sent
     to the workers. pattern: what a pre-token is. A null text counts as empty; empty texts have no ids; repeated rows
-    and repeated or null ids are kept each. A text lies in one block whole, however long. Other columns are ignored.
+    and repeated or null ids are kept each. A text lies in one block whole, however long; a block has block_tokens
+    pre-tokens and one text more at most, and rows of a block and a bucket of words are as many as their numbers' product, so
+    that executors with more memory should be given larger blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -229,10 +239,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    n_buckets = max(LEAST_BUCKETS, docs.rdd.getNumPartitions())
+    size = text_bytes(docs, "text")
+    n_buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     sql_kind = kind.simpleString()
-    blocks = docs.mapInArrow(_blocks(pattern, n_buckets, to_arrow_type(kind)), f"block long, ids array<{sql_kind}>, counts binary, stream binary, buckets binary, words binary")
-    blocks = materialize(blocks, "bpe-blocks")
+    blocks = docs.mapInArrow(_blocks(pattern, n_buckets, to_arrow_type(kind), block_tokens), f"block long, ids array<{sql_kind}>, counts binary, stream binary, buckets binary, words binary")
+    blocks = materialize(blocks, "bpe-blocks", bucket_by="block", n_buckets=n_buckets)
     dealt = blocks.select("block", "words", "buckets").mapInArrow(_deal, "bucket long, block long, words binary")
     encoded = dealt.groupBy("bucket").applyInArrow(_encode_bucket(shared, pattern), "bucket long, block long, lengths binary, ids binary")
     left = blocks.select("block", "ids", "counts", "stream", "buckets").groupBy("block")

@@ -32,23 +32,32 @@ def arrow_limits(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is made and set.
+    Only on one machine (a local master) a temporary folder is made and set where none is named; on a cluster that is an error.
     """
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="docledger-shared-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None, n_buckets: int = 0) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage and is not computed again.
 
-    The files survive lost executors; they belong to the run and may be deleted after it.
+    The files survive lost executors; they belong to the run and may be deleted after it. bucket_by: a column by which
+    the files are bucketed, so that a join on it does not shuffle them; they are then a table of the session's catalog.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, token = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{token}"
+    writer = df.write.option("compression", "zstd")
+    if not bucket_by:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    named = f"{name.replace('-', '_')}_{token}"
+    writer.bucketBy(n_buckets, bucket_by).option("path", path).saveAsTable(named, format="parquet")
+    return spark.table(named)
 
 
 def free(*dfs: DataFrame) -> None:

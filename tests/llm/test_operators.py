@@ -277,9 +277,8 @@ def test_bpe(spark, docs, clashing, corpus, monkeypatch):
     df = docs.union(spark.createDataFrame(odd, DOCS))
     want = sorted(((str(i), enc.encode_ordinary(t or "")) for i, t, *_ in [*corpus, *odd]), key=str)
     for block, long in ((6_000_000, 4_000_000), (50, 100)):
-        monkeypatch.setattr(bpe, "BLOCK_TOKENS", block)
         monkeypatch.setattr(bpe, "LONG_TEXT", long)
-        got = bpe.encode(df, path, public_tokenizers.PATTERN)
+        got = bpe.encode(df, path, public_tokenizers.PATTERN, block_tokens=block)
         rows = got.collect()
         assert sorted(((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in rows), key=str) == want
         assert all(r.n_tokens * 4 == len(r.ids) for r in rows)
