@@ -322,14 +322,6 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(out)) == len(out) and not set(out) & set(all_) and later
 
 
-def test_surrogates_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"a{i}@x.example.com and b{i % 3}@y.example.com") for i in range(30)], "doc_id long, text string")
-    whole = rows_of(pii.surrogates(df, b"k"))
-    monkeypatch.setattr(pii, "later_attempts", lambda e, key: e.limit(4).selectExpr("kind", "canon", "0 as attempt"))
-    monkeypatch.setattr(pii, "BLOCK", 1)
-    assert rows_of(pii.surrogates(df, b"k")) == whole
-
-
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there, how is the weather?\nSecond line of the message here."),
