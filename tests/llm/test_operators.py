@@ -200,9 +200,24 @@ def test_top_k(spark, scale):
         assert got == want
     else:  # held within 64 bits, scores tie; the numbers are right
         assert {(q, r, s) for q, r, _, s in got} == {(q, r, s) for q, r, _, s in want}
+    in_blocks = topk.top_k(df.where("vec_id % 50 = 0"), df, block_bytes=200)
+    assert len(in_blocks.inputFiles()) > 1 and set(map(tuple, in_blocks.collect())) == got
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df.where("vec_id = 0"), df.limit(0)).count() == 0
 
 
+def test_top_k_prunes_by_norms(spark):
+    """Short candidates cannot reach the cutoff and are never multiplied; the answer stays exact."""
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * (8 if i % 9 == 0 else 0.05) for _ in range(8)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 50, 100, 150, 200, 250, 300, 350):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in ints.items() if i != q)[:5]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    assert set(map(tuple, topk.top_k(df.where("vec_id % 50 = 0"), df).collect())) == want
+
+
 def test_windows():
     rng = np.random.default_rng(0)
 
