@@ -1,10 +1,14 @@
 """SimHash near-duplicates by a forest of vantage-point trees.
 
 Fingerprints of 64 bits link at RADIUS (3) or fewer differing bits. Two halves of 32 bits carry a tree each: linked
-fingerprints differ in one bit at most in one of the halves. A tree's levels each have a vantage point and a threshold;
-a fingerprint is at home in one leaf, and visits all leaves that its ball of radius 1 reaches over the boundaries, by the
-triangle bound |d(x, v) - d(y, v)| <= d(x, y). Each leaf prunes further by vantage points of its own, on all 64 bits, and
-links its exact pairs to one root each, so that no group is written as all its pairs.
+fingerprints differ in one bit at most in one of the halves. Each branch of a tree has a vantage point of its own, on the
+bits that its level owns; the levels' bits are disjoint, and the distance over them is a metric. A fingerprint is at home
+in one leaf and visits the leaves that its ball of radius 1 reaches over a boundary, by the triangle bound
+|d(x, v) - d(y, v)| <= d(x, y). Crossing one boundary uses up the one differing bit, so that no visitor crosses another:
+copies grow with the number of levels, not with its power.
+
+Each leaf prunes further by vantage points of its own, on all 64 bits, and links its exact pairs to one root each, so that
+no group is written as all its pairs. A leaf with very many fingerprints is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -22,15 +26,26 @@ from docledger.llm.common import arrow_limits, materialize
 from docledger.llm.graphs import components
 
 RADIUS, WORDS, SEED = 3, 3, 42
-#: Fingerprints at home in a leaf, about; pairs compared at once.
-LEAF, TILE, SMALL = 2000, 1 << 22, 256
-HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
-MOST_LEVELS = 40
+#: Fingerprints at home in a leaf, about, and in one task's share of a leaf at most; pairs compared at once.
+LEAF, SHARE, TILE, SMALL = 2000, 20_000, 1 << 22, 256
+#: Bits of a tree, and so its levels at most.
+BITS = 32
 
 
-def vantage(tree: int, level: int) -> int:
-    """A level's vantage point: fixed pseudo-random bits."""
-    return xxhash.xxh64_intdigest(f"{tree}:{level}", SEED)
+def level_bits(tree: int, levels: int) -> list[np.uint64]:
+    """The bits that each level of a tree owns: an odd number of the tree's half, in a fixed pseudo-random order."""
+    order = np.random.Generator(np.random.PCG64(SEED + tree)).permutation(BITS) + BITS * tree
+    size = BITS // max(1, levels)
+    size -= 1 - size % 2
+    return [np.bitwise_or.reduce(np.uint64(1) << order[i * size : (i + 1) * size].astype(np.uint64)) for i in range(levels)]
+
+
+def vantage(tree: int, level: int, branch: np.ndarray) -> np.ndarray:
+    """The vantage points of branches: fixed pseudo-random bits."""
+    x = branch.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(f"{tree}:{level}", SEED))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,44 +76,29 @@ def fingerprints(text: Column) -> Column:
     return of(text)
 
 
-def _distance(tree: int, level: int) -> Column:
-    half = HALVES[tree]
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
-    return F.bit_count(F.col("fp").bitwiseXOR(signed(vantage(tree, level))).bitwiseAND(signed(half)))
-
-
-def _thresholds(prints: DataFrame, levels: int) -> list[list[int]]:
-    """For each tree and level: the distance that splits all fingerprints best, by few on the boundary and halves alike."""
-    if not levels:
-        return [[], []]
-    every = F.array(*[_distance(t, k) for t in (0, 1) for k in range(levels)])
-    rows = prints.select(F.posexplode(every).alias("at", "d")).groupBy("at", "d").count().collect()  # 2 * levels * 33 rows at most
-    table = np.zeros((2 * levels, 34))
-    for at, d, n in rows:
-        table[at, d] = n
-    share = table / np.maximum(table.sum(1, keepdims=True), 1)
-    left = np.cumsum(share, 1)[:, :33]
-    cost = share[:, :33] + share[:, 1:] + 2 * np.abs(left - 0.5) ** 2 + 10 * ((left < 0.25) | (left > 0.75))
-    best = cost.argmin(1).tolist()
-    return [best[:levels], best[levels:]]
+def plant(fps: np.ndarray, tree: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which fingerprint, leaf, whether at home) for all places of the fingerprints in a tree."""
+    who, code = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    home = np.ones(len(fps), bool)
+    for level, own in enumerate(level_bits(tree, levels)):
+        d = np.bitwise_count((fps[who] ^ vantage(tree, level, code)) & own).astype(np.int64)
+        t = int(own).bit_count() // 2  # as many distances up to here as beyond
+        right = d > t
+        over = home & ((d == t) | (d == t + 1))  # the ball reaches the other side; a visitor has no radius left
+        code = np.concatenate((code * 2 + right, code[over] * 2 + ~right[over]))
+        home = np.concatenate((home, np.zeros(over.sum(), bool)))
+        who = np.concatenate((who, who[over]))
+    return who, code, home
 
 
-def _plant(thresholds: list[list[int]]):
-    """Deals fingerprints to the leaves of both trees, packed by task and leaf."""
+def _plant(levels: int):
+    """Deals fingerprints to the leaves of both trees, packed by batch and leaf."""
 
     def run(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for tree, half in enumerate(HALVES):
-                who, code = np.arange(len(fps)), np.zeros(len(fps), np.int64)
-                home = np.ones(len(fps), bool)
-                for level, t in enumerate(thresholds[tree]):
-                    d = np.bitwise_count((fps[who] ^ np.uint64(vantage(tree, level))) & np.uint64(half)).astype(np.int64)
-                    right = d > t
-                    over = (d == t) | (d == t + 1)  # the ball reaches the other side
-                    code = np.concatenate((code * 2 + right, code[over] * 2 + ~right[over]))
-                    home = np.concatenate((home, np.zeros(over.sum(), bool)))
-                    who = np.concatenate((who, who[over]))
+            for tree in (0, 1):
+                who, code, home = plant(fps, tree, levels)
                 order = np.lexsort((~home, code))
                 code, mine, at_home = code[order], fps[who[order]], home[order]
                 leaves, first = np.unique(code, return_index=True)
@@ -112,23 +112,32 @@ def _plant(thresholds: list[list[int]]):
     return run
 
 
-class _Union:
+class _Sets:
     """Disjoint sets of positions; the least is the root."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-def _link(points: np.ndarray, home: np.ndarray, near: np.ndarray, sets: _Union, depth: int = 0) -> None:
+        self.up = np.arange(n)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        out = self.up[at]
+        while True:
+            further = self.up[out]
+            if (further == out).all():
+                self.up[at] = out
+                return out
+            out = further
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a[i] and b[i]; each round hangs a root under the least root that it is joined with."""
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            apart = a != b
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(self.up, high, low)
+            a, b = low, high
+
+
+def _link(points: np.ndarray, home: np.ndarray, near: np.ndarray, sets: _Sets, depth: int = 0) -> None:
     """Joins all pairs of a home point and a near point within RADIUS. home, near: positions in points."""
     if not len(home) or not len(near):
         return
@@ -145,29 +154,33 @@ def _link(points: np.ndarray, home: np.ndarray, near: np.ndarray, sets: _Union,
     for i in range(0, len(home), step):
         own = home[i : i + step]
         a, b = np.nonzero(np.bitwise_count(points[own][:, None] ^ points[near][None, :]) <= RADIUS)
-        for x, y in zip(own[a].tolist(), near[b].tolist()):
-            if x != y:
-                sets.join(x, y)
+        sets.join(own[a], near[b])
 
 
 def _leaf(group: pa.Table) -> pa.Table:
-    """Links of one leaf, from each linked fingerprint to the least of its set here."""
-    home = np.frombuffer(b"".join(group.column("home").to_pylist()), np.uint64)
-    visitors = np.frombuffer(b"".join(group.column("visitors").to_pylist()), np.uint64)
-    points = np.unique(np.concatenate((home, visitors)))
-    sets = _Union(len(points))
-    _link(points, np.searchsorted(points, np.unique(home)), np.arange(len(points)), sets)
-    roots = np.array([sets.root(i) for i in range(len(points))], np.int64)
+    """Links of one task's share of a leaf, from each linked fingerprint to the least of its set here."""
+    read = lambda c: np.unique(np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), np.uint64))
+    home, near = read("home"), read("near")
+    points = np.union1d(home, near)
+    sets = _Sets(len(points))
+    _link(points, np.searchsorted(points, home), np.searchsorted(points, near), sets)
+    roots = sets.roots(np.arange(len(points)))
     linked = np.flatnonzero(roots != np.arange(len(points)))
     return pa.table({"u": points[linked].view(np.int64), "v": points[roots[linked]].view(np.int64)})
 
 
-def link_fingerprints(prints: DataFrame) -> DataFrame:
+def link_fingerprints(prints: DataFrame, leaf: int = LEAF, share: int = SHARE) -> DataFrame:
     """fp and root (of its component) of each fingerprint that links to another. prints: distinct fp (long)."""
     n = prints.count()
-    levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(n / LEAF)))) if n else 0
-    dealt = prints.select("fp").mapInArrow(_plant(_thresholds(prints, levels)), "tree int, leaf long, home binary, visitors binary")
-    edges = dealt.groupBy("tree", "leaf").applyInArrow(_leaf, "u long, v long")
+    levels = min(BITS, max(0, math.ceil(math.log2(n / leaf)))) if n else 0
+    dealt = materialize(prints.select("fp").mapInArrow(_plant(levels), "tree int, leaf long, home binary, visitors binary"), "simhash-leaves")
+    # A leaf with more fingerprints than a task's share is dealt to several: each has a part of those at home, and meets all.
+    sizes = dealt.groupBy("tree", "leaf").agg((F.sum(F.length("home")) / 8).alias("n"))
+    large = sizes.where(F.col("n") > share).select("tree", "leaf", F.ceil(F.col("n") / share).cast("int").alias("tasks"))
+    dealt = dealt.join(materialize(large, "simhash-large"), ["tree", "leaf"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+    own = dealt.select("tree", "leaf", F.pmod(F.xxhash64("home"), F.col("tasks").cast("long")).alias("task"), "home", F.lit(None).cast("binary").alias("near"))
+    met = dealt.select("tree", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("task"), F.lit(None).cast("binary").alias("home"), F.concat("home", "visitors").alias("near"))
+    edges = own.union(met).groupBy("tree", "leaf", "task").applyInArrow(_leaf, "u long, v long")
     return components(edges).withColumnRenamed("node", "fp")
 
 

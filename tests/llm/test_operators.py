@@ -1,12 +1,14 @@
 """Operators against brute force on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from docledger.llm import bpe, common, decontaminate, graphs, langid, passages, pii, quotes, sharding, simhash, topk, urls
@@ -96,24 +98,41 @@ def brute_components(prints):
     return [root(i) for i in range(len(prints))]
 
 
+def plain_fingerprint(text):
+    """By loops over words, shingles and bits."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_against_plain_loops(corpus):
+    odd = ["one", "one two", "A b C d", "\x0b\x0c a\u00a0b c\u2003d  e\x1cf", "ÀÉ ß İ K", "x " * 400]
+    for text in [t for _, t, *_ in corpus] + odd:
+        if text is None or len(text) < 20_000:
+            assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_simhash(spark, docs, clashing, corpus):
     got = simhash.near_duplicates(docs).collect()
     prints = {t: simhash.fingerprint(t) for _, t, *_ in corpus}
     assert prints[None] == prints[""] == prints["  \n "] == 0
     assert {(r.doc_id, r.fp & (1 << 64) - 1) for r in got} == {(i, prints[t]) for i, t, *_ in corpus}
-    roots = brute_components([prints[t] for _, t, *_ in corpus])
-    least = {}
-    for (i, *_), r in zip(corpus, roots):
-        least[r] = min(x for x in (least.get(r), i) if x is not None) if i is not None or r in least and least[r] is not None else None
-    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(least[r])) for (i, *_), r in zip(corpus, roots))
+    members = {}
+    for (i, *_), root in zip(corpus, brute_components([prints[t] for _, t, *_ in corpus])):
+        members.setdefault(root, []).append(i)
+    want = []
+    for ids in members.values():
+        known = [i for i in ids if i is not None]  # a null id names a component only if it has no other
+        want += [(str(i), str(min(known) if known else None)) for i in ids]
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted(want)
     assert rows_of(simhash.near_duplicates(clashing)) == rows_of(simhash.near_duplicates(docs)) and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [5, 40])
-def test_forest_is_exact(spark, monkeypatch, leaf):
-    """Shards with boundaries, and branches within them, lose no link."""
-    monkeypatch.setattr(simhash, "LEAF", leaf)
-    monkeypatch.setattr(simhash, "SMALL", 4)
+@pytest.mark.parametrize("leaf, share", [(1, 20_000), (5, 20_000), (40, 7), (1000, 16)])
+def test_forest_is_exact(spark, leaf, share):
+    """Shards with boundaries, branches within them, and leaves dealt to several tasks lose no link."""
     rng = random.Random(leaf)
     prints = {rng.getrandbits(64) for _ in range(300)}
     for p in list(prints)[:150]:
@@ -123,11 +142,28 @@ def test_forest_is_exact(spark, monkeypatch, leaf):
             prints.add(p)
     prints = sorted(prints, key=lambda p: p - (1 << 64) if p >> 63 else p)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {r.fp: r.root for r in simhash.link_fingerprints(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    got = {r.fp: r.root for r in simhash.link_fingerprints(spark.createDataFrame([(p,) for p in signed], "fp long"), leaf, share).collect()}
     want = brute_components(prints)
     assert [got.get(p, p) for p in signed] == [signed[i] for i in want]
 
 
+def test_branches_within_a_leaf(monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    points = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in rng.integers(0, 1 << 63, 8).astype(np.uint64)]))
+    sets = simhash._Sets(len(points))
+    simhash._link(points, np.arange(len(points)), np.arange(len(points)), sets)
+    assert sets.roots(np.arange(len(points))).tolist() == brute_components(points.tolist())
+
+
+def test_visitors_grow_with_the_levels():
+    """A fingerprint crosses one boundary at most on its way, so copies are the levels and one at most, however many leaves there are."""
+    fps = np.random.default_rng(1).integers(0, 1 << 63, 2000).astype(np.uint64)
+    for levels in (0, 1, 7, 13, 32):
+        who, _, home = simhash.plant(fps, 0, levels)
+        assert home.sum() == len(fps) and np.bincount(who).max() <= levels + 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5), (None, 1)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
