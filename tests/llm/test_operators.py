@@ -388,7 +388,7 @@ def test_quotations(spark):
     assert [(by[1, i].reply_conv, by[1, i].reply_turn, by[1, i].depth) for i in range(4)] == [(None, None, 0), (1, 0, 1), (1, 1, 2), (1, 0, 1)]
     assert by[1, 2].text == "Great to hear that, thanks a lot!" and by[1, 1].text == "It is fine and very sunny today."
     assert (by[3, 5].reply_conv, by[3, 5].thread_conv, by[3, 5].text) == (1, 1, "abroad") and by[3, 6].text == "" and by[4, 0].text == "  kept as it is \n\n" and by[2, 1].text == ""
-    assert [r.depth for r in got if r.thread_conv == 1] == sorted(r.depth for r in got if r.thread_conv == 1)
+    assert [(r.conv_id, r.turn) for r in got if r.thread_conv == 1] == [(1, 0), (1, 1), (1, 2), (1, 3), (3, 5)]  # each answer right after what it answers
     assert quotes.threads(df.limit(0)).count() == 0
 
 
