@@ -7,6 +7,7 @@ the likelihood gains more than a penalty for each language.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +21,8 @@ from docledger.llm.common import Shared, arrow_limits
 #: The model: hashed trigrams, smoothing, labelled documents learnt from per language (a hash sample of about so many),
 #: and how many languages there may be.
 BUCKETS, SMOOTHING, PER_LANGUAGE, MOST_LANGUAGES = 1 << 15, 0.5, 4000, 512
+#: Sums of counts are made in so many parts for each language first.
+PARTS = 64
 #: Inference: the penalty for a language more is PENALTY * log(number of trigrams).
 PENALTY, EM_STEPS, SETTLED = 3.0, 60, 1e-4
 UNKNOWN = "und"
@@ -71,15 +74,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 own = by.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text), minlength=BUCKETS)
         for lang, own in by.items():
-            at = np.flatnonzero(own)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "feature", "n"])
+            yield _counts(lang, own)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, np.int64)
+        for raw in group.column("counts"):
+            total += np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
+        return pa.Table.from_batches([_counts(group.column("lang")[0].as_py(), total)])
+
+    # Sums of a few tasks first, then of all: a row for each language comes to the driver, MOST_LANGUAGES of 256 kB at most.
+    layout = "lang string, counts binary"
+    part = docs.where(place < share).select("lang", "text").mapInArrow(count, layout)
+    part = part.groupBy("lang", F.pmod(F.spark_partition_id(), F.lit(PARTS))).applyInArrow(add, layout).groupBy("lang").applyInArrow(add, layout)
+    rows = sorted(((r["lang"], np.frombuffer(zlib.decompress(r["counts"]), np.int64)) for r in part.collect()), key=lambda r: r[0])
+    if not rows:
+        return Model()
+    table = np.stack([x for _, x in rows], 1) + SMOOTHING
+    return Model([x for x, _ in rows], (table / table.sum(0)).astype(np.float32))
+
 
-    counts = docs.where(place < share).select("lang", "text").mapInArrow(count, "lang string, feature long, n long")
-    found = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # MOST_LANGUAGES * BUCKETS rows at most
-    languages = sorted(found["lang"].unique())
-    table = np.full((BUCKETS, len(languages)), SMOOTHING)
-    np.add.at(table, (found["feature"].to_numpy(np.int64), np.searchsorted(languages, found["lang"].to_numpy(str))), found["n"].to_numpy(float))
-    return Model([str(x) for x in languages], table / table.sum(0))
+def _counts(lang: str, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([lang], pa.string()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["lang", "counts"])
 
 
 def mixture(model: Model, features: np.ndarray) -> np.ndarray:
@@ -89,7 +104,7 @@ def mixture(model: Model, features: np.ndarray) -> np.ndarray:
         return shares
     bins = np.bincount(features, minlength=BUCKETS)
     at = np.flatnonzero(bins)
-    n, p = bins[at].astype(float), model.likelihood[at]
+    n, p = bins[at].astype(float), model.likelihood[at].astype(float)
     total, price = n.sum(), PENALTY * np.log(max(2.0, float(n.sum())))
     alone = n @ np.log(p)
     shares[int(np.argmax(alone))], best = 1.0, float(alone.max())
@@ -118,7 +133,8 @@ def predict(shared: Shared, text: Column) -> Column:
     """struct<lang_pred string, score double, shares array<struct<lang string, share double>>>.
 
     lang_pred has the largest share (of ties the first by name), and score is that share. A null text, one without a
-    letter, and a model without languages give `und`, 0 and no shares. Whole texts count, however long.
+    letter, and, as nothing else could be named, a model without languages give `und`, 0 and no shares. Whole texts count,
+    however long.
     """
 
     @F.pandas_udf("lang_pred string, score double, shares array<struct<lang:string,share:double>>")

@@ -12,36 +12,41 @@ from pyspark.sql import functions as F
 #: The n-gram sizes, hashed features, steps, step size and L2 weight of training, and how many labelled URLs and rules are taken at most.
 SIZES, FEATURES, STEPS, RATE, DECAY, MOST_LABELLED, MOST_RULES = (3, 4), 1024, 80, 4.0, 0.002, 5000, 1000
 
+#: Groups of features in which their places are looked up.
+GROUPS = 32
+
 #: Fixed values: (rule, verdict). A rule is a host, which stands for its subdomains too, and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The labelled URLs (1: block).
-LABELLED = (
-    ("https://www.citylibrary.example.org/catalog/history", 0), ("https://blog.gardeners.example.net/2021/05/pruning-roses", 0),
-    ("http://news.harbour.example.com/en/article/1042", 0), ("https://docs.toolkit.example.io/guide/install", 0),
-    ("https://university.example.edu/physics/lecture-notes", 0), ("https://museum.example.org/collection/paintings", 0),
-    ("http://recipes.example.net/en/bread/sourdough", 0), ("https://weather.example.com/fr/meteo/paris", 0),
-    ("https://wiki.example.org/wiki/Photosynthesis", 0), ("https://forum.astronomy.example.net/thread/8821", 0),
-    ("https://travel.example.com/es/guia/madrid", 0), ("https://openbooks.example.org/read/chapter-3", 0),
-    ("http://health.example.gov/advice/vaccines", 0), ("https://code.example.dev/project/readme", 0),
-    ("https://maths.example.edu/algebra/exercises?page=2", 0), ("https://schule.example.de/unterricht/biologie", 0),
-    ("https://magazine.example.com/en/essays/571", 0), ("https://parliament.example.gov/debates/2019/03", 0),
-    ("http://orchestra.example.net/programme", 0), ("https://archive.example.org/details/letters-1890", 0),
-    ("https://language.example.com/en/grammar/verbs", 0), ("https://birds.example.net/species/heron", 0),
-    ("http://m.stories.example.com/en/25#top", 0), ("https://maps.example.org/city/berlin", 0),
-    ("http://casino-bonus.example.biz/free-spins", 1), ("https://hot-xxx-videos.example.net/watch/adult", 1),
-    ("http://cheap-pills.example.info/viagra-online", 1), ("http://win-jackpot.example.top/slots/poker", 1),
-    ("https://sexcam.example.xyz/live/girls", 1), ("http://replica-watches.example.biz/buy-cheap", 1),
-    ("http://bet365-clone.example.top/betting/odds", 1), ("https://warez.example.to/crack/keygen", 1),
-    ("http://free-iphone.example.click/winner?ref=spam", 1), ("http://porn-tube.example.net/xxx/hd", 1),
-    ("https://loan-payday.example.loan/apply-now", 1), ("http://download-torrent.example.to/movies/cracked", 1),
-    ("http://escort-service.example.xyz/adult/nude", 1), ("http://clickbank.example.top/make-money-fast", 1),
-    ("http://casino.example.com/poker/bonus", 1), ("https://adult-dating.example.club/sex/chat", 1),
-    ("http://cheap-meds.example.biz/buy/cialis-pills", 1), ("http://crypto-doubler.example.top/get-rich", 1),
-    ("http://seo-links.example.info/buy-backlinks", 1), ("http://keygen-serial.example.to/cracked-software", 1),
-    ("https://xxx-gallery.example.xyz/nude/porn", 1), ("http://slots-online.example.biz/jackpot", 1),
-    ("http://weight-loss.example.click/miracle-pills", 1), ("http://spam-mailer.example.top/bulk/offer", 1),
+#: Fixed values, from which the labelled URLs are made: words of wanted and of unwanted sites, syllables of names that say
+#: nothing, forms of both kinds ({w}, {v}: words; {s}: a name; {l}: a language; {n}: a number), endings and languages.
+WANTED = (
+    "library", "museum", "garden", "physics", "history", "weather", "recipes", "university", "science", "school", "orchestra", "parliament",
+    "archive", "medicine", "grammar", "astronomy", "birds", "travel", "maths", "painting", "chemistry", "railway", "poetry", "geology",
+)
+UNWANTED = (
+    "casino", "poker", "viagra", "xxx", "porn", "escort", "keygen", "warez", "jackpot", "betting", "replica", "cialis",
+    "sexcam", "payday", "torrent", "cracked", "nude", "slots", "backlinks", "doubler", "pills", "spam", "adult", "lottery",
 )
+NAMES = ("tion", "ble", "thor", "sha", "ren", "lyn", "ther", "mar", "kel", "don", "vis")
+FORMS = {
+    0: ("www.{w}.example.{t}/{v}/{n}", "{v}.{w}.example.{t}/{l}/article/{n}", "blog.{s}.example.{t}/{l}/{n}", "m.{s}.example.{t}/{l}/{n}/", "docs.{s}.example.{t}/guide/{w}?page={n}"),
+    1: ("{w}-{v}.example.{t}/free/{n}", "www.{w}.example.{t}/{l}/{v}/{n}", "m.{s}.example.{t}/{w}/{v}-online-{n}", "{s}.example.{t}/{l}/buy-{w}?ref={n}", "hot-{w}.example.{t}/{l}/{n}"),
+}
+ENDINGS, LANGUAGES, EACH = ("com", "net", "org", "info"), ("en", "fr", "de", "es"), 160
+
+
+def labelled(each: int = EACH) -> list[tuple[str, int]]:
+    """(URL, 1: block) of `each` URLs of both kinds; languages, endings and names that say nothing are as frequent in both."""
+    out = []
+    for label, words in ((0, WANTED), (1, UNWANTED)):
+        for i in range(each):
+            name = NAMES[i % len(NAMES)] + NAMES[(5 * i + 2) % len(NAMES)]
+            form = FORMS[label][i % len(FORMS[label])]
+            url = form.format(w=words[i % len(words)], v=words[(7 * i + 3) % len(words)], s=name, t=ENDINGS[i // 3 % len(ENDINGS)], l=LANGUAGES[i // 5 % len(LANGUAGES)], n=1 + 37 * i % 9973)
+            out.append((("https://" if i % 3 else "http://") + url, label))
+    return out
+
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,7 +128,10 @@ def train(labelled: DataFrame) -> list[float]:
     )
     zero = F.transform(F.sequence(F.lit(1), F.lit(FEATURES + 1)), lambda _: F.lit(0.0))
     table = _settled(table.select("rows", n.alias("n"), where.alias("pairs"), zero.alias("zero")))
-    inverse = F.transform("zero", lambda _, j: F.filter("pairs", lambda p: p["j"] == j + 1)["i"])
+    # By groups of features first, so that not every feature goes through all pairs.
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter("pairs", lambda p: p["j"] % GROUPS == g))
+    table = _settled(table.select("rows", "n", "zero", groups.alias("groups")))
+    inverse = F.transform("zero", lambda _, j: F.filter(F.get("groups", (j + 1) % GROUPS), lambda p: p["j"] == j + 1)["i"])
     table = _settled(table.select("rows", "n", "zero", inverse.alias("inverse")))
     start = F.struct(F.col("zero").alias("w"), F.array().cast("array<double>").alias("g"))
 
@@ -140,7 +148,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.sql("select * from values " + ", ".join(f"('{u}', {y})" for u, y in LABELLED) + " as t(url, label)")
+    return spark.sql("select * from values " + ", ".join(f"('{u}', {y})" for u, y in labelled()) + " as t(url, label)")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
