@@ -19,23 +19,31 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits, materialize
+from docledger.llm.common import arrow_limits, free, materialize
 from docledger.llm.graphs import components
+from docledger.llm.passages import shingles
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Fingerprints at home in a leaf, about, and in one task's share of a leaf at most; pairs compared at once.
 LEAF, SHARE, TILE, SMALL = 2000, 20_000, 1 << 22, 256
 #: Bits of a tree, and so its levels at most.
 BITS = 32
-
-
-def level_bits(tree: int, levels: int) -> list[np.uint64]:
-    """The bits that each level of a tree owns: an odd number of the tree's half, in a fixed pseudo-random order."""
-    order = np.random.Generator(np.random.PCG64(SEED + tree)).permutation(BITS) + BITS * tree
-    size = BITS // max(1, levels)
+#: Similar documents: five-word shingles, their Jaccard similarity, and a fingerprint of four words of 64 bits. The first word
+#: has PARTS trees of 64 / PARTS bits: words that differ in fewer than 2 * PARTS bits differ in one bit at most in one of them.
+#: Candidates differ in WIDE_RADIUS of all 256 bits at most: at a similarity of 0.8 the mean is 39 and the deviation 6.
+SHINGLE, SIMILARITY, WIDE, PARTS, WIDE_RADIUS = 5, 0.8, 4, 8, 52
+#: Nearest candidates that a document is compared with in each round; none: all that are left.
+ROUNDS = (1, 16, None)
+
+
+def level_bits(tree: int, levels: int, bits: int = BITS) -> list[np.uint64]:
+    """The bits that each level of a tree owns: an odd number of the tree's own, in a fixed pseudo-random order."""
+    order = np.random.Generator(np.random.PCG64(SEED + tree)).permutation(bits) + bits * tree
+    size = bits // max(1, levels)
     size -= 1 - size % 2
     return [np.bitwise_or.reduce(np.uint64(1) << order[i * size : (i + 1) * size].astype(np.uint64)) for i in range(levels)]
 
@@ -76,11 +84,11 @@ def fingerprints(text: Column) -> Column:
     return of(text)
 
 
-def plant(fps: np.ndarray, tree: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def plant(fps: np.ndarray, tree: int, levels: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which fingerprint, leaf, whether at home) for all places of the fingerprints in a tree."""
     who, code = np.arange(len(fps)), np.zeros(len(fps), np.int64)
     home = np.ones(len(fps), bool)
-    for level, own in enumerate(level_bits(tree, levels)):
+    for level, own in enumerate(level_bits(tree, levels, bits)):
         d = np.bitwise_count((fps[who] ^ vantage(tree, level, code)) & own).astype(np.int64)
         t = int(own).bit_count() // 2  # as many distances up to here as beyond
         right = d > t
@@ -91,6 +99,17 @@ def plant(fps: np.ndarray, tree: int, levels: int) -> tuple[np.ndarray, np.ndarr
     return who, code, home
 
 
+def _by_leaf(tree: int, who: np.ndarray, code: np.ndarray, home: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """tree, leaf, home and visitors: the records of each leaf, packed."""
+    order = np.lexsort((~home, code))
+    code, mine, at_home = code[order], records[who[order]], home[order]
+    leaves, first = np.unique(code, return_index=True)
+    cut = [*first.tolist(), len(code)]
+    sets = [(mine[a:b], int(at_home[a:b].sum())) for a, b in zip(cut, cut[1:])]
+    columns = [pa.array([tree] * len(sets), pa.int32()), pa.array(leaves, pa.int64()), pa.array([x[:n].tobytes() for x, n in sets], pa.binary()), pa.array([x[n:].tobytes() for x, n in sets], pa.binary())]
+    return pa.record_batch(columns, names=["tree", "leaf", "home", "visitors"])
+
+
 def _plant(levels: int):
     """Deals fingerprints to the leaves of both trees, packed by batch and leaf."""
 
@@ -98,20 +117,27 @@ def _plant(levels: int):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for tree in (0, 1):
-                who, code, home = plant(fps, tree, levels)
-                order = np.lexsort((~home, code))
-                code, mine, at_home = code[order], fps[who[order]], home[order]
-                leaves, first = np.unique(code, return_index=True)
-                cut = [*first.tolist(), len(code)]
-                sets = [(mine[a:b], int(at_home[a:b].sum())) for a, b in zip(cut, cut[1:])]
-                yield pa.record_batch(
-                    [pa.array([tree] * len(sets), pa.int32()), pa.array(leaves, pa.int64()), pa.array([x[:n].tobytes() for x, n in sets], pa.binary()), pa.array([x[n:].tobytes() for x, n in sets], pa.binary())],
-                    names=["tree", "leaf", "home", "visitors"],
-                )
+                yield _by_leaf(tree, *plant(fps, tree, levels), fps)
 
     return run
 
 
+def _dealt(planted: DataFrame, share: int, size: int) -> DataFrame:
+    """tree, leaf, task, home and near: what is compared together.
+
+    A leaf with more records (of `size` bytes) at home than a task's share is dealt to several tasks: each has a part of
+    those at home, and meets all.
+    """
+    planted = materialize(planted, "simhash-leaves")
+    sizes = planted.groupBy("tree", "leaf").agg((F.sum(F.length("home")) / size).alias("n"))
+    large = sizes.where(F.col("n") > share).select("tree", "leaf", F.ceil(F.col("n") / share).cast("long").alias("tasks"))
+    planted = planted.join(materialize(large, "simhash-large"), ["tree", "leaf"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1).cast("long")))
+    none = F.lit(None).cast("binary")
+    own = planted.select("tree", "leaf", F.pmod(F.xxhash64("home"), F.col("tasks")).alias("task"), "home", none.alias("near"))
+    met = planted.select("tree", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), none.alias("home"), F.concat("home", "visitors").alias("near"))
+    return own.union(met)
+
+
 class _Sets:
     """Disjoint sets of positions; the least is the root."""
 
@@ -173,14 +199,8 @@ def link_fingerprints(prints: DataFrame, leaf: int = LEAF, share: int = SHARE) -
     """fp and root (of its component) of each fingerprint that links to another. prints: distinct fp (long)."""
     n = prints.count()
     levels = min(BITS, max(0, math.ceil(math.log2(n / leaf)))) if n else 0
-    dealt = materialize(prints.select("fp").mapInArrow(_plant(levels), "tree int, leaf long, home binary, visitors binary"), "simhash-leaves")
-    # A leaf with more fingerprints than a task's share is dealt to several: each has a part of those at home, and meets all.
-    sizes = dealt.groupBy("tree", "leaf").agg((F.sum(F.length("home")) / 8).alias("n"))
-    large = sizes.where(F.col("n") > share).select("tree", "leaf", F.ceil(F.col("n") / share).cast("int").alias("tasks"))
-    dealt = dealt.join(materialize(large, "simhash-large"), ["tree", "leaf"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
-    own = dealt.select("tree", "leaf", F.pmod(F.xxhash64("home"), F.col("tasks").cast("long")).alias("task"), "home", F.lit(None).cast("binary").alias("near"))
-    met = dealt.select("tree", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("task"), F.lit(None).cast("binary").alias("home"), F.concat("home", "visitors").alias("near"))
-    edges = own.union(met).groupBy("tree", "leaf", "task").applyInArrow(_leaf, "u long, v long")
+    dealt = _dealt(prints.select("fp").mapInArrow(_plant(levels), "tree int, leaf long, home binary, visitors binary"), share, 8)
+    edges = dealt.groupBy("tree", "leaf", "task").applyInArrow(_leaf, "u long, v long")
     return components(edges).withColumnRenamed("node", "fp")
 
 
@@ -199,3 +219,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "simhash-classes")
     # Written first, so that both sides are plain shuffles: a fingerprint with very many copies is split by the skew join.
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """The distinct 5-word shingles, sorted; of a shorter text all words as one; none without words."""
+    found = shingles(text)
+    if not len(found):
+        words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    return np.unique(found)
+
+
+def wide_fingerprint(members: np.ndarray) -> bytes:
+    """SimHash of a set over WIDE words of 64 bits."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(members), 1 << 13):
+        h = members[i : i + (1 << 13), None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(members)).tobytes()
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _digest(members: np.ndarray) -> int:
+    """Names a set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes(), SEED)).astype(np.int64))
+
+
+def _sketch(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(list(map(_digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(wide_fingerprint, sets)), pa.binary())], names=["doc_id", "digest", "n", "wide"])
+
+
+#: What a leaf holds of a document: its set, the group it is in, how many are in that, and its fingerprint.
+RECORD = np.dtype([("digest", "<i8"), ("n", "<i4"), ("group", "<i8"), ("size", "<i4"), ("wide", "<u8", WIDE)])
+
+
+def _plant_records(levels: int):
+    def run(batches):
+        for batch in batches:
+            records = np.zeros(batch.num_rows, RECORD)
+            for name in ("digest", "n", "group", "size"):
+                records[name] = batch.column(name).to_numpy(zero_copy_only=False)
+            records["wide"] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+            for tree in range(PARTS):
+                yield _by_leaf(tree, *plant(records["wide"][:, 0], tree, levels, 64 // PARTS), records)
+
+    return run
+
+
+def _candidates(most: int | None, similarity: float):
+    """x and y: of each document at home its nearest candidates of other groups, `most` at most.
+
+    The smaller group looks for the larger one, so that a few that stand alone do not set all of a large group looking.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        read = lambda c: np.unique(np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), RECORD))
+        home, near = read("home"), read("near")
+        found, step = [], max(1, TILE // max(1, len(near)))
+        for i in range(0, len(home), step):
+            own = home[i : i + step]
+            a, b = np.nonzero(np.bitwise_count(own["wide"][:, 0][:, None] ^ near["wide"][:, 0][None, :]) < 2 * PARTS)
+            apart = own["group"][a] != near["group"][b]
+            a, b = a[apart], b[apart]
+            d = np.bitwise_count(own["wide"][a] ^ near["wide"][b]).sum(1, dtype=np.int64)
+            sizes = np.minimum(own["n"][a], near["n"][b]) >= similarity * np.maximum(own["n"][a], near["n"][b]) - 1e-9
+            fits = (d <= WIDE_RADIUS) & sizes
+            if most != 1:
+                fits &= (own["size"][a] < near["size"][b]) | ((own["size"][a] == near["size"][b]) & (own["group"][a] < near["group"][b]))
+            a, b, d = a[fits], b[fits], d[fits]
+            order = np.lexsort((near["digest"][b], d, a))
+            a, b = a[order], b[order]
+            if most is not None and len(a):
+                begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                kept = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a)))) < most
+                a, b = a[kept], b[kept]
+            found.append((own["digest"][a], near["digest"][b]))
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"x": pa.array(np.minimum(x, y), pa.int64()), "y": pa.array(np.maximum(x, y), pa.int64())})
+
+    return run
+
+
+def _texts(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        raw = [(d, (t or "").encode("utf-8", "surrogatepass")) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        kept = [(d, pack(t)) for d, t in raw if _digest(shingle_set(t)) == d]
+        if kept:
+            yield pa.record_batch([pa.array([d for d, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["digest", "text"])
+
+
+def _verify(similarity: float):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        last = members = None
+        for batch in batches:
+            good = []
+            for y, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if last != y:
+                    last, members = y, shingle_set(unpack.decompress(b))
+                good.append(jaccard(shingle_set(unpack.decompress(a)), members) >= similarity)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["x", "y", "good"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, leaf: int = LEAF, share: int = SHARE) -> DataFrame:
+    """doc_id and first: every row with an id, and the least id of its group.
+
+    A group is what links of a Jaccard similarity of `similarity` or more over the distinct 5-word shingles hold together.
+    Candidates are near in SimHash and come from vantage-point trees; each link is verified on the whole texts. Links go by
+    rounds: the nearest candidate first, then more of those that are still in another group, at last all of them; so a
+    large group is never compared in all its pairs. Texts of fewer than five words count as one shingle; those without
+    words, null or not, are alike. Rows without an id are left out; rows of one id are one document.
+    """
+    arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_sketch, f"doc_id {kind}, digest long, n int, wide binary"), "similar-prints")
+    distinct = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide")), "similar-distinct")
+    n = distinct.count()
+    levels = min(64 // PARTS, max(0, math.ceil(math.log2(n / leaf)))) if n else 0
+    links, tried, labels = [], [], None
+    for most in ROUNDS:
+        if labels is None:
+            state = distinct.select("digest", "n", F.col("digest").alias("group"), F.lit(1).alias("size"), "wide")
+        else:
+            sizes = labels.groupBy("root").agg(F.count("*").cast("int").alias("size"))
+            named = distinct.join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("group", F.coalesce("root", "digest"))
+            state = named.join(sizes, "root", "left").select("digest", "n", "group", F.coalesce("size", F.lit(1)).alias("size"), "wide")
+        planted = state.mapInArrow(_plant_records(levels), "tree int, leaf long, home binary, visitors binary")
+        pairs = _dealt(planted, share, RECORD.itemsize).groupBy("tree", "leaf", "task").applyInArrow(_candidates(most, similarity), "x long, y long").distinct()
+        for done in tried:
+            pairs = pairs.join(done, ["x", "y"], "left_anti")
+        pairs = materialize(pairs, "similar-pairs")
+        needed = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct()
+        needed = materialize(distinct.join(needed, "digest", "left_semi").select("digest", F.col("least").alias("doc_id")), "similar-needed")
+        texts = materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(_texts, "digest long, text binary").dropDuplicates(["digest"]), "similar-texts")
+        full = pairs.join(texts.select(F.col("digest").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("digest").alias("y"), F.col("text").alias("b")), "y").select("x", "y", "a", "b")
+        verified = materialize(full.mapInArrow(_verify(similarity), "x long, y long, good boolean"), "similar-verified")
+        free(texts)
+        tried.append(verified.select("x", "y"))
+        links.append(verified.where("good").select("x", "y"))
+        edges = links[0]
+        for more in links[1:]:
+            edges = edges.union(more)
+        labels = materialize(components(edges, "x", "y"), "similar-labels")
+    named = distinct.join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = materialize(named.join(firsts, "root").select("digest", "first"), "similar-named")
+    return prints.join(named, "digest").select("doc_id", "first")
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The ids (doc_id) to drop, each once, so that one document of each group of similar_groups() stays: the one of the least id."""
+    return similar_groups(docs, id_col, text_col, similarity).where("doc_id > first").select("doc_id").distinct()
