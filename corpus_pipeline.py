@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.llm import bpe, decontaminate, langid, minhash, pii
+from docledger.llm import bpe, decontaminate, langid, pii, simhash
 from docledger.llm.common import fresh, materialize, table
 from docledger.llm.queries import SURROGATE_KEY, held_out
 
@@ -33,11 +33,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that are alike to one of a smaller id (5-word shingles, Jaccard 0.8 or more).
+    """One document of each group of near-duplicates stays: the one of the least id.
 
-    Rows of one id are one document; rows without an id stay; texts without words are alike.
+    Links have a Jaccard similarity of 0.8 or more over 5-word shingles; candidates come from SimHash. Rows of one id are
+    one document; rows without an id stay; texts without words are alike.
     """
-    gone = materialize(minhash.duplicates(docs), "pipeline-gone")
+    gone = materialize(simhash.duplicates(docs), "pipeline-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
