@@ -109,7 +109,7 @@ def _(t, spark):
 
 @query("a08_weighted_confidence", f"select o_orderkey as record, round({_GIVEN} * 0.97 / {_WEIGHT}, 9) as confidence, {_GIVEN} < {_WEIGHT} as missing from inv_headers")
 def _(t, spark):
-    return validation.critical(*invoices(t)).select("record", F.round("confidence", 9).alias("confidence"), "missing")
+    return validation.judged(*invoices(t), AS_OF).select("record", F.round("confidence", 9).alias("confidence"), "missing")
 
 
 @query("v28_validate", f"select record, round(score, 9) as score, round(overall, 9) as overall, status, status <> 'valid' as review_required from ({_DECIDED}) d")
