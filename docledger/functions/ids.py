@@ -11,20 +11,26 @@ from docledger.functions.text import ascii_digits, compact, lookalikes, squeeze
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GSTIN = "^([0-9]{2})([A-Z]{5}[0-9]{4}[A-Z])([1-9A-Z])Z([0-9A-Z])$"
 
-#: What documents hold, as patterns.
+#: What documents hold, as patterns. A candidate is what may be a tax number that was read wrongly.
 PATTERNS = {
-    "gstin": "(?i)\\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\\b",
-    "pan": "(?i)\\b[A-Z]{5}[0-9]{4}[A-Z]\\b",
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}",
-    "date": "\\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\\b",
-    "amount": "[0-9][0-9,]*\\.[0-9]{2}",
-    "phone": "\\b[6-9][0-9]{9}\\b",
-    "pincode": "\\b[1-9][0-9]{5}\\b",
-    "ifsc": "\\b[A-Z]{4}0[A-Z0-9]{6}\\b",
-    "irn": "\\b[0-9a-fA-F]{64}\\b",
+    "gstin": r"(?i)\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b",
+    "candidate": r"(?i)(?<![A-Z0-9])[A-Z0-9][A-Z0-9 -]{12,17}[A-Z0-9](?![A-Z0-9])",
+    "date": r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})\b",
+    "amount": r"(?i)(?<![A-Z])(?:[₹$€£]\s*|INR\s*|Rs\.?\s*)?-?\d[\d,]*(?:\.\d{1,2})?(?:/-|=\d{2})?",
+    "pan": r"(?i)\b[A-Z]{5}\d{4}[A-Z]\b",
+    "phone": r"(?:\+91[\s-]?)?[6-9]\d{9}\b",
+    "email": r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b",
+    "pincode": r"\b[1-9]\d{5}\b",
+    "ifsc": r"(?i)\b[A-Z]{4}0[A-Z0-9]{6}\b",
+    "irn": r"(?i)\b[0-9a-f]{64}\b",
 }
 
 
+def found(text: Column, kind: str) -> Column:
+    """array<string>: all that a text holds of a kind of PATTERNS, in order."""
+    return F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+
+
 def gstin_normal(x: Column) -> Column:
     t = F.upper(F.regexp_replace(x, "[\\s-]+", ""))
     return F.when(t != "", t)

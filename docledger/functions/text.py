@@ -76,22 +76,36 @@ def without_unclear(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[\\x00-\\x1F\\x7F-\\x{9F}]", " "), "\\s+", " "))
 
 
+#: Characters that handwriting is read for, and what they stand for among figures and among letters.
+FIGURES_FROM, FIGURES_TO = "OoQDIl|i!ZzSs$bB", "0000111112255568"
+LETTERS_FROM, LETTERS_TO = "01582", "OISBZ"
+
+
 def handwritten(x: Column, kind: str) -> Column:
     """Characters read as the kind expected: numeric or alpha."""
-    return F.translate(without_unclear(x), "OoQDIl|i!ZzSs$bB", "0000111112255568") if kind == "numeric" else F.translate(without_unclear(x), "01582", "OISBZ")
+    return F.translate(without_unclear(x), FIGURES_FROM, FIGURES_TO) if kind == "numeric" else F.translate(without_unclear(x), LETTERS_FROM, LETTERS_TO)
+
+
+#: What a date, an amount, a quantity, a label and an identifier look like.
+DATE_LIKE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b|(?i)\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4}\b"
+AMOUNT_LIKE = r"(?i)^(?:(?:[₹$€£]|INR|Rs\.?)\s*-?\d[\d,]*(?:\.\d{1,2})?|-?\d[\d,]*(?:\.\d{1,2})?\s*(?:/-)?$)"
+QUANTITY_LIKE = r"(?i)^\d+(?:\.\d+)?\s*(?:nos|pcs|qty|units?|kgs?|ltrs?|each|boxes)?$"
+LABEL_LIKE = r"invoice|bill|tax|total|date|seller|buyer|client"
+IDENTIFIER_LIKE = r"(?i)^[A-Z0-9][A-Z0-9/\-_]{3,24}$"
 
 
 def semantic_role(x: Column) -> Column:
     """What a handwritten token is: empty, date, amount, quantity, label, identifier or text."""
     t = F.coalesce(without_unclear(x), F.lit(""))
-    date = "\\b\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}\\b|\\b\\d{4}[/-]\\d{1,2}[/-]\\d{1,2}\\b|(?i)\\b\\d{1,2}\\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+\\d{2,4}\\b"
-    amount = "(?i)^(?:(?:[₹$€£]|INR|Rs\\.?)\\s*-?\\d[\\d,]*(?:\\.\\d{1,2})?|-?\\d[\\d,]*(?:\\.\\d{1,2})?\\s*(?:/-)?$)"
     return (
-        F.when(t == "", "empty")
-        .when(t.rlike(date), "date")
-        .when(t.rlike(amount) | t.rlike("[₹$€£]"), "amount")
-        .when(t.rlike("(?i)^\\d+(?:\\.\\d+)?\\s*(?:nos|pcs|qty|units?|kgs?|ltrs?|each|boxes)?$"), "quantity")
-        .when(F.lower(t).rlike("invoice|bill|tax|total|date|seller|buyer|client"), "label")
-        .when(t.rlike("(?i)^[A-Z0-9][A-Z0-9/\\-_]{3,24}$") & t.rlike("\\d"), "identifier")
-        .otherwise("text")
-    )
+        F.when(t == "", "empty").when(t.rlike(DATE_LIKE), "date").when(t.rlike(AMOUNT_LIKE) | t.rlike("[₹$€£]"), "amount").when(t.rlike(QUANTITY_LIKE), "quantity")
+        .when(F.lower(t).rlike(LABEL_LIKE), "label").when(t.rlike(IDENTIFIER_LIKE) & t.rlike("\\d"), "identifier").otherwise("text")
+    )
+
+
+def interpreted(tokens, text: str = "text", kind: str = "kind"):
+    """Tokens with role and reading: handwritten ones without marks of unclear places, as figures where their role says so."""
+    hand = F.col(kind) == "handwritten"
+    role = F.when(hand, semantic_role(F.col(text)))
+    reading = F.when(role.isin("amount", "quantity"), handwritten(F.col(text), "numeric")).when(hand, without_unclear(F.col(text))).otherwise(F.col(text))
+    return tokens.withColumns({"role": role, "reading": reading})

@@ -69,42 +69,57 @@ def near(keys: DataFrame, least: float = 85.0, against: DataFrame | None = None)
     return met.select(*OUT, F.lit("near").alias("kind"), F.greatest(F.lit(0.60), F.least(F.lit(0.90), F.col("ratio") / 100)).alias("score"), F.lit("invoice_no").alias("reason"))
 
 
-def _grams(col: str, most: int) -> Column:
-    """All substrings of up to `most` characters."""
-
-    def of(k: int) -> Column:
-        last = F.length(col) - k + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(F.col(col), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(k) for k in range(1, most + 1)])
-
-
 def near_without_supplier(keys: DataFrame, number: float = 85.0, name: float = 90.0, against: DataFrame | None = None) -> DataFrame:
     """Documents without a tax number, by number and name alike and totals close or missing.
 
-    Candidates must share a piece: a number of length n that is alike to 85 keeps one of its pieces whole, since edits can
-    harm no more pieces than there are; so the join is on pieces, not on all pairs.
+    Both texts must be alike, so candidates come from the stricter side, the name. Names alike to 90 leave one of a few pieces
+    whole; a piece is joined with its place, so that it only meets pieces of names of nearly the same length that stand
+    nearly where it stands. Distinct names meet, not documents; alike names then bring their documents, which must agree
+    in total where both have one, and whose numbers must be within Levenshtein's bound.
     """
-    bare = "supplier_gstin is null and invoice_no_norm is not null and supplier_name is not null"
+    bare = "coalesce(supplier_gstin, '') = '' and invoice_no_norm <> '' and supplier_name <> ''"
     a, b = sides(keys.where(bare), None if against is None else against.where(bare))
-    # A partner of length m holds at most (1 - t) * (n + m) insertions and deletions, and is at most n * (2 - t) / t long.
-    t = number / 100
-    room = F.floor(F.length("a_invoice_no_norm") * (1 - t) * 2 / t).cast("int")
-    pieces = room + 1
-    n = F.length("a_invoice_no_norm")
-    at = lambda i: F.floor(n * i / pieces).cast("int")
-    a = a.withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), room), lambda i: F.substr(F.col("a_invoice_no_norm"), at(i) + 1, F.greatest(at(i + 1) - at(i), F.lit(0)))))))
-    a = a.withColumn("size", F.length("piece"))
-    # Pieces are one to three characters long: there are more than a third as many as characters.
-    grams = _grams("b_invoice_no_norm", 3)
-    b = b.withColumn("b_piece", F.explode(F.array_distinct(grams)))
+    names = similar_names(a.select(F.col("a_supplier_name").alias("name")).distinct(), b.select(F.col("b_supplier_name").alias("name")).distinct(), name)
     money = F.col("a_total_amount").isNull() | F.col("b_total_amount").isNull() | (F.abs(F.col("a_total_amount") - F.col("b_total_amount")) <= F.lit("0.01").cast("decimal(18,2)"))
     x, y = F.col("a_invoice_no_norm"), F.col("b_invoice_no_norm")
-    alike = similarity.can_reach(x, y, number) & similarity.can_reach(F.col("a_supplier_name"), F.col("b_supplier_name"), name)
-    met = _pair(a, b, [], (F.col("piece") == F.col("b_piece")) & money & alike)
-    met = met.select(*OUT, "a_invoice_no_norm", "b_invoice_no_norm", "a_supplier_name", "b_supplier_name").distinct()
-    met = met.withColumns({"r1": similarity.ratio(x, y), "r2": similarity.ratio(F.col("a_supplier_name"), F.col("b_supplier_name"))}).where((F.col("r1") >= number) & (F.col("r2") >= name))
-    return met.select(*OUT, F.lit("near").alias("kind"), F.greatest(F.lit(0.60), F.least(F.lit(0.90), (F.col("r1") + F.col("r2")) / 200)).alias("score"), F.lit("supplier_name").alias("reason"))
+    # Numbers within the bound differ little in length: a band of lengths joins with the names, so that a large supplier is many groups.
+    band = 4
+    a = a.withColumn("band", F.floor(F.length(x) / band)).join(names.withColumnRenamed("a_name", "a_supplier_name"), "a_supplier_name")
+    reach = lambda n, sign: F.floor((n + sign * F.ceil(n * (1 - number / 100) * 2)) / band)
+    b = b.withColumn("b_band", F.explode(F.sequence(F.greatest(reach(F.length(y), -1), F.lit(0)), reach(F.length(y), 1))))
+    # Where both totals are there they lie in the same or the next cent: that joins too, and null totals meet all.
+    cents = lambda c: F.coalesce(F.round(F.col(c) * 100).cast("long"), F.lit(-1).cast("long"))
+    known_a = a.where("a_total_amount is not null").withColumn("cents", cents("a_total_amount"))
+    known_b = b.where("b_total_amount is not null").withColumn("b_cents", F.explode(F.array(cents("b_total_amount") - 1, cents("b_total_amount"), cents("b_total_amount") + 1)))
+    same = (F.col("b_name") == F.col("b_supplier_name")) & (F.col("band") == F.col("b_band")) & (F.col("a_job_id") != F.col("b_job_id")) & money & similarity.can_reach(x, y, number)
+    kept = [*OUT, "a_invoice_no_norm", "b_invoice_no_norm", "r2"]
+    met = known_a.join(known_b, same & (F.col("cents") == F.col("b_cents"))).select(*kept)
+    met = met.union(a.where("a_total_amount is null").join(b, same).select(*kept)).union(a.where("a_total_amount is not null").join(b.where("b_total_amount is null"), same).select(*kept))
+    met = met.withColumn("r1", similarity.ratio(x, y)).where(F.col("r1") >= number)
+    return met.select(*OUT, F.lit("near").alias("kind"), F.greatest(F.lit(0.60), F.least(F.lit(0.90), (F.col("r1") + F.col("r2")) / 200)).alias("score"), F.lit("supplier_name").alias("reason")).dropDuplicates(OUT)
+
+
+def similar_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """a_name, b_name and r2: distinct names (column name) of both sides that are alike to `least`.
+
+    Of a name of length n, cut into one piece more than edits are possible, one piece stands unharmed in any name alike to it,
+    moved by as many places as there are edits at most.
+    """
+    t = least / 100
+    room = F.floor(F.length("name") * (1 - t) * 2 / t).cast("int")
+    n = F.length("name")
+    cut = lambda i, k: F.floor(n * i / k).cast("int")
+    piece = lambda i, k: F.struct(cut(i, k).alias("at"), F.substr(F.col("name"), cut(i, k) + 1, cut(i + 1, k) - cut(i, k)).alias("text"))
+    x = a.withColumn("k", room + 1).withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: piece(i, F.col("k"))))).select(F.col("name").alias("a_name"), F.col("p.at").alias("at"), F.col("p.text").alias("text"), n.alias("n")).where("text <> ''")
+    sizes = x.select(F.length("text").alias("size")).distinct()
+    widths = F.broadcast(sizes.agg(F.collect_set("size").alias("sizes")))
+    y = b.withColumn("n2", n).withColumn("one", F.lit(1)).join(widths.withColumn("one", F.lit(1)), "one")
+    y = y.withColumn("size", F.explode("sizes")).where(F.col("size") <= F.col("n2")).withColumn("at2", F.explode(F.sequence(F.lit(0), F.col("n2") - F.col("size"))))
+    y = y.select(F.col("name").alias("b_name"), "at2", "n2", F.substr(F.col("name"), F.col("at2") + 1, F.col("size")).alias("text"))
+    most = F.floor((F.col("n") + F.col("n2")) * (1 - t))
+    met = x.join(y, "text").where((F.abs(F.col("at") - F.col("at2")) <= most) & (F.abs(F.col("n") - F.col("n2")) <= most)).select("a_name", "b_name").distinct()
+    met = met.where(similarity.can_reach(F.col("a_name"), F.col("b_name"), least)).withColumn("r2", similarity.ratio(F.col("a_name"), F.col("b_name")))
+    return met.where(F.col("r2") >= least)
 
 
 def matches(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
@@ -118,8 +133,35 @@ def matches(keys: DataFrame, against: DataFrame | None = None) -> DataFrame:
     return best.select(*OUT, "m.kind", "m.score", "m.reason")
 
 
+def with_batch(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Candidates of both: those kept before, and those of the same batch; of one document (job and index) the kept one counts."""
+    x = old.withColumn("_from", F.lit(0)).unionByName(batch.withColumn("_from", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in x.columns if c not in ("job_id", "doc_index", "_from")]
+    return x.groupBy("job_id", "doc_index").agg(F.min_by(F.struct(*rest), "_from").alias("r")).select("job_id", "doc_index", "r.*")
+
+
 def within_batch(keys: DataFrame, batch: str) -> DataFrame:
-    """Business-key matches of a document with an earlier one of its batch."""
+    """Business-key matches of a document with an earlier one (seq) of its batch: same supplier and number, and same date or total."""
     a, b = keys.select([F.col(c).alias(f"a_{c}") for c in keys.columns]), keys.select([F.col(c).alias(f"b_{c}") for c in keys.columns])
     cond = (F.col(f"a_{batch}") == F.col(f"b_{batch}")) & (F.col("a_seq") > F.col("b_seq")) & (F.col("a_supplier_gstin") == F.col("b_supplier_gstin")) & (F.col("a_invoice_no_norm") == F.col("b_invoice_no_norm"))
-    return a.join(b, cond).select(F.col(f"a_{batch}").alias(batch), "a_seq", "b_seq")
+    return a.join(b, cond & (_same("invoice_date") | _same("total_amount"))).select(F.col(f"a_{batch}").alias(batch), "a_seq", "b_seq")
+
+
+def classes(keys: DataFrame, on: list[str]) -> DataFrame:
+    """job_id, doc_index, first_job, first_index and members: each document of a class of two or more that agree in `on`, and the
+    class's first document (least job and index). A file that came m times gives m rows, not all its pairs. Null keys are no class.
+    """
+    full = keys.where(" and ".join(f"{c} is not null" for c in on))
+    g = full.groupBy(*on).agg(F.min(F.struct("job_id", "doc_index")).alias("f"), F.count("*").alias("members")).where("members > 1")
+    return full.join(g, on).select("job_id", "doc_index", F.col("f.job_id").alias("first_job"), F.col("f.doc_index").alias("first_index"), "members")
+
+
+def exact_classes(keys: DataFrame) -> DataFrame:
+    """Classes of documents of one file content."""
+    return classes(keys, ["sha256"])
+
+
+def business_classes(keys: DataFrame) -> DataFrame:
+    """Classes of documents of one supplier, number and date, and of one supplier, number and total, with the key that holds them."""
+    by_date = classes(keys, ["supplier_gstin", "invoice_no_norm", "invoice_date"]).withColumn("reason", F.lit("invoice_date"))
+    return by_date.union(classes(keys, ["supplier_gstin", "invoice_no_norm", "total_amount"]).withColumn("reason", F.lit("total_amount")))

@@ -98,9 +98,44 @@ def would_limit(events: DataFrame, client: str, ts: str, most: int = 60, seconds
     return events.withColumn("recent", F.count("*").over(w)).withColumn("limited", F.col("recent") > most)
 
 
-def breaker(calls: DataFrame, by: str, ts: str, seq: str, ok: str, most: int = 5, seconds: int = 60) -> DataFrame:
-    """open: after this call `most` failures since the last success lie within the last seconds."""
-    order = W.partitionBy(by).orderBy(ts, seq).rowsBetween(W.unboundedPreceding, 0)
-    island = calls.withColumn("_island", F.count_if(ok).over(order)).withColumn("_t", F.unix_timestamp(ts))
-    w = W.partitionBy(by, "_island").orderBy("_t").rangeBetween(-seconds, 0)
-    return island.withColumn("failures", F.count_if(~F.col(ok)).over(w)).withColumn("open", (F.col("failures") >= most) & ~F.col(ok)).drop("_island", "_t")
+def breaker(calls: DataFrame, by: str, by_type: str, ts: str, seq: str, ok: str, most: int = 5, seconds: int = 60, closed_for: int = 60) -> DataFrame:
+    """by, seq, open (this call is turned away) and trips (this call opens the breaker).
+
+    `most` failures within `seconds` since the last success open the breaker for `closed_for` seconds; calls in that time are
+    turned away and count for nothing. What counts follows from what was let through, so this folds in order.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fold_breaker(pdf.sort_values(["t", seq])[["t", seq, "good"]].itertuples(index=False), [], None, most, seconds, closed_for)[0], columns=[seq, "open", "trips"]).assign(**{by: pdf[by].iloc[0]})[[by, seq, "open", "trips"]]
+
+    rows = calls.select(by, seq, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), F.col(ok).alias("good"))
+    return rows.groupBy(by).applyInPandas(run, f"{by} {by_type}, {seq} long, open boolean, trips boolean")
+
+
+def fold_breaker(calls, failures: list[float], until: float | None, most: int, seconds: int, closed_for: int) -> tuple[list[tuple], list[float], float | None]:
+    """(rows (seq, open, trips), times of the failures that count, until when it is open) after calls (time, seq, good) in order."""
+    out = []
+    for t, seq, good in calls:
+        if until is not None and t < until:
+            out.append((seq, True, False))
+            continue
+        until = None
+        if good:
+            failures = []
+        else:
+            failures = [x for x in failures if t - x <= seconds] + [t]
+        trips = not good and len(failures) >= most
+        if trips:
+            until = t + closed_for
+        out.append((seq, False, trips))
+    return out, failures, until
+
+
+def timed_out(events: DataFrame, key: str, ts: str, seq: str, started: str, finished: tuple[str, ...], state: str, seconds: int = 300) -> DataFrame:
+    """key, timed_out and n_kept: whether a job was still at work `seconds` after its start, and its events up to then (its partial output)."""
+    start = F.min(F.when(F.col(state) == started, F.unix_micros(F.col(ts).cast("timestamp")))).over(W.partitionBy(key))
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    x = events.withColumns({"_start": start, "_late": (t - start) > seconds * 1_000_000})
+    done = F.max(F.when(F.col(state).isin(*finished) & ~F.col("_late"), True))
+    g = x.groupBy(key).agg(F.max(F.coalesce("_late", F.lit(False))).alias("late"), F.coalesce(done, F.lit(False)).alias("done"), F.count_if(~F.coalesce("_late", F.lit(False))).alias("n_kept"))
+    return g.select(key, (F.col("late") & ~F.col("done")).alias("timed_out"), "n_kept")

@@ -31,6 +31,11 @@ def merge(hyps: DataFrame, gap: float = 0.15, alternatives: int = 3) -> DataFram
     return ranked.groupBy(*keys).agg(first("value"), first("score"), first("sources"), F.transform(others, lambda x: x["value"]).alias("alternatives"), F.max((F.col("rank") == 1) & ~F.col("qr") & F.coalesce(F.col("score") - F.col("next") < gap, F.lit(False))).alias("ambiguous"))
 
 
+def representative(hyps: DataFrame, by: list[str], order: str, carried: list[str]) -> DataFrame:
+    """by and the carried columns of the surest hypothesis of each group; of equals the first in order."""
+    return hyps.groupBy(*by).agg(F.max_by(F.struct(*carried), F.struct(F.col("confidence").cast("double"), -F.col(order))).alias("r")).select(*by, "r.*")
+
+
 def vote(values: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """The value that most copies have; of ties the one whose last copy comes first."""
     n = values.groupBy(*by, value).agg(F.count("*").alias("n"), F.max(order).alias("seen"))
@@ -43,8 +48,24 @@ def align_lines(a: DataFrame, b: DataFrame, key: str, pos: str, field: str) -> D
     return x.join(y, [key, pos], "full_outer")
 
 
-def ground(values: DataFrame, tokens: DataFrame, most: int = 1) -> DataFrame:
-    """doc_id, field, value, and the token nearest to the value by edit distance, up to `most`; of ties the first; grounded or not."""
-    met = values.join(tokens, "doc_id").withColumn("d", F.levenshtein(F.upper("value"), F.upper("token"), most)).where("d >= 0")
-    best = met.groupBy("doc_id", "field").agg(F.min_by(F.struct("token", "d", "pos"), F.struct("d", "pos")).alias("t"))
-    return values.join(best, ["doc_id", "field"], "left").select("doc_id", "field", "value", "t.token", F.col("t.d").alias("distance"), F.col("t").isNotNull().alias("grounded"))
+#: Confidence of a critical value that no token on its page bears out.
+UNGROUNDED = 0.375
+
+
+def ground(values: DataFrame, tokens: DataFrame, most: int = 1, handwritten: int = 2) -> DataFrame:
+    """doc_id, field, value, and the token nearest to the value by edit distance; of ties the first; grounded or not.
+
+    A token may be up to `most` edits away, one of kind handwritten (a column `kind` of tokens) up to `handwritten`. Where both
+    sides have a column page, only tokens of the value's page count; the token's box (x0, y0, x1, y1) comes along where tokens
+    have one. `confidence`, where values have it, falls to UNGROUNDED at most for a value without a token.
+    """
+    have = set(tokens.columns)
+    box = [c for c in ("x0", "y0", "x1", "y1") if c in have]
+    on = ["doc_id", *(["page"] if "page" in have and "page" in values.columns else [])]
+    room = F.when(F.col("kind") == "handwritten", handwritten).otherwise(most) if "kind" in have else F.lit(most)
+    slim = tokens.select(*on, "token", "pos", room.alias("_room"), *box)
+    met = values.select(*on, "field", "value").join(slim, on).withColumn("d", F.levenshtein(F.upper("value"), F.upper("token"), max(most, handwritten))).where("d >= 0 and d <= _room")
+    best = met.groupBy("doc_id", "field").agg(F.min_by(F.struct("token", "d", "pos", *box), F.struct("d", "pos")).alias("t"))
+    out = values.join(best, ["doc_id", "field"], "left")
+    sure = [F.when(F.col("t").isNull(), F.least(F.col("confidence").cast("double"), F.lit(UNGROUNDED))).otherwise(F.col("confidence").cast("double")).alias("confidence")] if "confidence" in values.columns else []
+    return out.select("doc_id", "field", "value", "t.token", F.col("t.d").alias("distance"), F.col("t").isNotNull().alias("grounded"), *[F.col(f"t.{c}").alias(c) for c in box], *sure)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.operators import dedupe
+from docledger.operators import dedupe, jobs
 from docledger.sources import files
 
 
@@ -76,3 +76,94 @@ def incremental_matches(stream: DataFrame, table: str, path: str, checkpoint: st
         new.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def breaker(stream: DataFrame, client: str, client_type: str, seq: str, ok: str, ts: str = "ts", most: int = 5, seconds: int = 60, closed_for: int = 60) -> DataFrame:
+    """client, seq, open (the call is turned away) and trips: as jobs.breaker(), with the failures that count as each client's state."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        failures, until = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        rows = pd.concat(list(batches)).sort_values(["_t", seq])
+        out, failures, until = jobs.fold_breaker(rows[["_t", seq, "_ok"]].itertuples(index=False), failures, until, most, seconds, closed_for)
+        state.update((failures, until))
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=[client, seq, "open", "trips"])
+
+    timed = stream.select(client, seq, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"), F.col(ok).alias("_ok"))
+    return timed.groupBy(client).applyInPandasWithState(run, f"{client} {client_type}, {seq} long, open boolean, trips boolean", "failures array<double>, until double", "append", "NoTimeout")
+
+
+def lifetimes(stream: DataFrame, key: str, key_type: str, ts: str, hours: float = 24.0, lateness: str = "0 seconds") -> DataFrame:
+    """key and expired_at of jobs that nothing was heard of for some hours: event time decides, and their state goes."""
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(keys[0], pd.Timestamp(last + int(hours * 3_600_000), unit="ms"))], columns=[key, "expired_at"])
+            return
+        seen = max(int(pd.to_datetime(b[ts]).max().value // 1_000_000) for b in batches)
+        last = max(seen, state.get[0]) if state.exists else seen
+        state.update((last,))
+        state.setTimeoutTimestamp(last + int(hours * 3_600_000))
+        yield from ()
+
+    return stream.withWatermark(ts, lateness).groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, expired_at timestamp", "last long", "append", "EventTimeTimeout")
+
+
+def deadlines(stream: DataFrame, key: str, key_type: str, ts: str, state_col: str, started: str, finished: tuple[str, ...], seconds: int = 300, lateness: str = "0 seconds") -> DataFrame:
+    """key, outcome (done or timed_out) and n_events: a job's end, or what it had done when its time was up.
+
+    The clock is event time from the job's start; what comes after its end is left out.
+    """
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        names = [key, "outcome", "n_events"]
+        if state.hasTimedOut:
+            begun, n, over = state.get
+            state.remove()
+            if not over:
+                yield pd.DataFrame([(keys[0], "timed_out", n)], columns=names)
+            return
+        begun, n, over = state.get if state.exists else (None, 0, False)
+        rows = pd.concat(list(batches)).sort_values(ts)
+        for t, s in zip(rows[ts], rows[state_col]):
+            at = int(pd.Timestamp(t).value // 1_000_000)
+            if over:
+                break
+            if begun is None and s == started:
+                begun = at
+            if begun is not None and at > begun + seconds * 1000:
+                over = True
+                yield pd.DataFrame([(keys[0], "timed_out", n)], columns=names)
+                break
+            n += 1
+            if s in finished:
+                over = True
+                yield pd.DataFrame([(keys[0], "done", n)], columns=names)
+        state.update((begun, n, over))
+        if begun is not None:
+            state.setTimeoutTimestamp(max(begun + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+
+    held = stream.withWatermark(ts, lateness)
+    return held.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, outcome string, n_events int", "begun long, n int, over boolean", "append", "EventTimeTimeout")
+
+
+def replayable(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str):
+    """Writes each batch under its number, so that a batch that runs again after a crash, or with retried jobs, replaces what it wrote.
+
+    latest() reads the result: of a key's rows in all batches the last counts.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        rest = [c for c in df.columns if c not in keys]
+        last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:
+    """What replayable() wrote: the last row of each key."""
+    rows = spark.read.parquet(path).drop("batch")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
