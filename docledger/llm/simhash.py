@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.llm.common import arrow_limits, free, materialize
@@ -36,8 +36,8 @@ BITS = 32
 #: has PARTS trees of 64 / PARTS bits: words that differ in fewer than 2 * PARTS bits differ in one bit at most in one of them.
 #: Candidates differ in WIDE_RADIUS of all 256 bits at most: at a similarity of 0.8 the mean is 39 and the deviation 6.
 SHINGLE, SIMILARITY, WIDE, PARTS, WIDE_RADIUS = 5, 0.8, 4, 8, 52
-#: Nearest candidates that a document is compared with in each round; none: all that are left.
-ROUNDS = (1, 16, None)
+#: Nearest candidates that each tree gives a document in the first and in the second round; who has more is compared by shingles.
+NEAREST, MORE = 1, 4
 
 
 def level_bits(tree: int, levels: int, bits: int = BITS) -> list[np.uint64]:
@@ -274,40 +274,96 @@ def _plant_records(levels: int):
     return run
 
 
-def _candidates(most: int | None, similarity: float):
-    """x and y: of each document at home its nearest candidates of other groups, `most` at most.
+#: What a leaf says: a pair of candidates (x, y), a document (x) that has more than were given, a document (x) that is one of these.
+PAIR, SEEKS, SOUGHT = 0, 1, 2
 
-    The smaller group looks for the larger one, so that a few that stand alone do not set all of a large group looking.
+
+def _owned(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """Whether no tree before this one brings two first words together: a pair belongs to one tree."""
+    differ = a ^ b
+    out = np.ones(len(a), bool)
+    for t in range(tree):
+        out &= np.bitwise_count((differ >> np.uint64(64 // PARTS * t)) & np.uint64((1 << 64 // PARTS) - 1)) > 1
+    return out
+
+
+def _candidates(most: int, similarity: float, first: bool):
+    """kind, x and y: of each document at home its nearest candidates of other groups, `most` at most; beyond the first round also
+    who has more than these, and who those are.
+
+    There the smaller group looks for the larger one, so that a few that stand alone do not set all of a large group looking.
     """
 
     def run(group: pa.Table) -> pa.Table:
         read = lambda c: np.unique(np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), RECORD))
-        home, near = read("home"), read("near")
-        found, step = [], max(1, TILE // max(1, len(near)))
+        home, near, tree = read("home"), read("near"), group.column("tree")[0].as_py()
+        kinds, xs, ys = [], [], []
+
+        def say(kind, x, y):
+            kinds.append(np.full(len(x), kind, np.int32))
+            xs.append(x)
+            ys.append(y)
+
+        sought, step = np.zeros(len(near), bool), max(1, TILE // max(1, len(near)))
         for i in range(0, len(home), step):
             own = home[i : i + step]
             a, b = np.nonzero(np.bitwise_count(own["wide"][:, 0][:, None] ^ near["wide"][:, 0][None, :]) < 2 * PARTS)
             apart = own["group"][a] != near["group"][b]
             a, b = a[apart], b[apart]
+            apart = _owned(own["wide"][a, 0], near["wide"][b, 0], tree)
+            a, b = a[apart], b[apart]
             d = np.bitwise_count(own["wide"][a] ^ near["wide"][b]).sum(1, dtype=np.int64)
             sizes = np.minimum(own["n"][a], near["n"][b]) >= similarity * np.maximum(own["n"][a], near["n"][b]) - 1e-9
             fits = (d <= WIDE_RADIUS) & sizes
-            if most != 1:
+            if not first:
                 fits &= (own["size"][a] < near["size"][b]) | ((own["size"][a] == near["size"][b]) & (own["group"][a] < near["group"][b]))
             a, b, d = a[fits], b[fits], d[fits]
+            if not len(a):
+                continue
             order = np.lexsort((near["digest"][b], d, a))
             a, b = a[order], b[order]
-            if most is not None and len(a):
-                begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                kept = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a)))) < most
-                a, b = a[kept], b[kept]
-            found.append((own["digest"][a], near["digest"][b]))
-        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"x": pa.array(np.minimum(x, y), pa.int64()), "y": pa.array(np.maximum(x, y), pa.int64())})
+            begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            kept = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a)))) < most
+            if not first:
+                more = np.unique(a[~kept])
+                say(SEEKS, own["digest"][more], np.zeros(len(more), np.int64))
+                sought[b[np.isin(a, more)]] = True
+            x, y = own["digest"][a[kept]], near["digest"][b[kept]]
+            say(PAIR, np.minimum(x, y), np.maximum(x, y))
+        say(SOUGHT, near["digest"][sought], np.zeros(int(sought.sum()), np.int64))
+        return pa.table({"kind": pa.array(np.concatenate(kinds), pa.int32()), "x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
 
     return run
 
 
+def _shingle_rows(batches):
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            members = shingle_set(unpack.decompress(raw))
+            yield pa.record_batch([pa.array(np.full(len(members), d, np.int64)), pa.array(members.view(np.int64)), pa.array(np.full(len(members), len(members), np.int64))], names=["digest", "shingle", "n"])
+
+
+def _sharing(pool: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """x and y: pairs of a document that seeks and one that is sought, of different groups, that may be alike by their rarest shingles.
+
+    Of sets of n and m members that are alike, o = s / (1 + s) * (n + m) are common at least; in one order of all shingles, rare
+    ones first, a common one is then among the first n - o + 1 of the one and m - o + 1 of the other. So no pair is lost, and
+    an edited copy whose edits are its own meets nobody.
+    """
+    rows = texts.join(pool.select("digest").distinct(), "digest", "left_semi").mapInArrow(_shingle_rows, "digest long, shingle long, n long")
+    rows = materialize(rows, "similar-shingles")
+    counted = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("df", "shingle"))
+    ranked = rows.join(counted, "shingle").withColumn("at", nth).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    ranked = materialize(ranked.join(groups, "digest"), "similar-prefixes")
+    side = lambda kind, p: ranked.join(pool.where(F.col("kind") == kind).select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias(p), "shingle", *[F.col(c).alias(f"{p}_{c}") for c in ("n", "at", "group")])
+    o = F.ceil((F.col("x_n") + F.col("y_n")) * (similarity / (1 + similarity)) - 1e-9)
+    fits = (F.col("x_group") != F.col("y_group")) & (F.col("x_at") <= F.col("x_n") - o + 1) & (F.col("y_at") <= F.col("y_n") - o + 1)
+    met = side(SEEKS, "x").join(side(SOUGHT, "y"), "shingle").where(fits)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def _texts(batches):
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -337,8 +393,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A group is what links of a Jaccard similarity of `similarity` or more over the distinct 5-word shingles hold together.
     Candidates are near in SimHash and come from vantage-point trees; each link is verified on the whole texts. Links go by
-    rounds: the nearest candidate first, then more of those that are still in another group, at last all of them; so a
-    large group is never compared in all its pairs. Texts of fewer than five words count as one shingle; those without
+    rounds: the nearest candidates first, then more of those that are still in another group; who has still more is compared
+    with those that share one of its rarest shingles, which loses no link. So a large group is never compared in all its pairs. Texts of fewer than five words count as one shingle; those without
     words, null or not, are alike. Rows without an id are left out; rows of one id are one document.
     """
     arrow_limits(docs.sparkSession)
@@ -348,32 +404,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide")), "similar-distinct")
     n = distinct.count()
     levels = min(64 // PARTS, max(0, math.ceil(math.log2(n / leaf)))) if n else 0
-    links, tried, labels = [], [], None
-    for most in ROUNDS:
-        if labels is None:
-            state = distinct.select("digest", "n", F.col("digest").alias("group"), F.lit(1).alias("size"), "wide")
-        else:
-            sizes = labels.groupBy("root").agg(F.count("*").cast("int").alias("size"))
-            named = distinct.join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("group", F.coalesce("root", "digest"))
-            state = named.join(sizes, "root", "left").select("digest", "n", "group", F.coalesce("size", F.lit(1)).alias("size"), "wide")
-        planted = state.mapInArrow(_plant_records(levels), "tree int, leaf long, home binary, visitors binary")
-        pairs = _dealt(planted, share, RECORD.itemsize).groupBy("tree", "leaf", "task").applyInArrow(_candidates(most, similarity), "x long, y long").distinct()
-        for done in tried:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = materialize(pairs, "similar-pairs")
-        needed = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct()
+    grouped = distinct.select("digest", F.col("digest").alias("group"), F.lit(1).alias("size"))
+    held: list[DataFrame] = []  # texts, each document's once
+
+    def text_of(digests: DataFrame) -> DataFrame:
+        needed = digests.distinct()
+        for known in held:
+            needed = needed.join(known.select("digest"), "digest", "left_anti")
         needed = materialize(distinct.join(needed, "digest", "left_semi").select("digest", F.col("least").alias("doc_id")), "similar-needed")
-        texts = materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(_texts, "digest long, text binary").dropDuplicates(["digest"]), "similar-texts")
+        held.append(materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(_texts, "digest long, text binary").dropDuplicates(["digest"]), "similar-texts"))
+        out = held[0]
+        for more in held[1:]:
+            out = out.union(more)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = text_of(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")))
         full = pairs.join(texts.select(F.col("digest").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("digest").alias("y"), F.col("text").alias("b")), "y").select("x", "y", "a", "b")
-        verified = materialize(full.mapInArrow(_verify(similarity), "x long, y long, good boolean"), "similar-verified")
-        free(texts)
-        tried.append(verified.select("x", "y"))
-        links.append(verified.where("good").select("x", "y"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
+        return materialize(full.mapInArrow(_verify(similarity), "x long, y long, good boolean"), "similar-verified")
+
+    def regrouped(edges: DataFrame) -> DataFrame:
         labels = materialize(components(edges, "x", "y"), "similar-labels")
-    named = distinct.join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        sizes = labels.groupBy("root").agg(F.count("*").cast("int").alias("size"))
+        named = distinct.select("digest").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").join(sizes, "root", "left")
+        return materialize(named.select("digest", F.coalesce("root", "digest").alias("group"), F.coalesce("size", F.lit(1)).alias("size")), "similar-groups")
+
+    edges = tried = None
+    for most in (NEAREST, MORE):
+        state = distinct.select("digest", "n", "wide").join(grouped, "digest")
+        planted = state.mapInArrow(_plant_records(levels), "tree int, leaf long, home binary, visitors binary")
+        found = materialize(_dealt(planted, share, RECORD.itemsize).groupBy("tree", "leaf", "task").applyInArrow(_candidates(most, similarity, most == NEAREST), "kind int, x long, y long"), "similar-found")
+        pairs = found.where(F.col("kind") == PAIR).select("x", "y").distinct()
+        checked = verified(materialize(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "similar-pairs"))
+        good = checked.where("good").select("x", "y")
+        tried, edges = (checked.select("x", "y"), good) if tried is None else (tried.union(checked.select("x", "y")), edges.union(good))
+        grouped = regrouped(edges)
+    pool = materialize(found.where(F.col("kind") != PAIR).select("kind", F.col("x").alias("digest")).distinct(), "similar-pool")
+    if not pool.isEmpty():
+        pairs = _sharing(pool, grouped.select("digest", "group"), text_of(pool.select("digest")), similarity)
+        checked = verified(materialize(pairs.join(tried, ["x", "y"], "left_anti"), "similar-pairs"))
+        grouped = regrouped(edges.union(checked.where("good").select("x", "y")))
+    free(*held)
+    named = distinct.join(grouped.select("digest", F.col("group").alias("root")), "digest")
     firsts = named.groupBy("root").agg(F.min("least").alias("first"))
     named = materialize(named.join(firsts, "root").select("digest", "first"), "similar-named")
     return prints.join(named, "digest").select("doc_id", "first")
