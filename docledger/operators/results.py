@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHECK_COLUMNS = ("code", "severity", "passed", "path", "message", "expected", "actual", "difference")
@@ -89,6 +89,18 @@ def queue(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'queued'").orderBy("created_at", "id")
 
 
+def places(rows: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+    """Adds place (from 1) over the whole table in an order whose columns tell rows apart.
+
+    The rows are sorted by ranges; counts of the ranges give each its first place, so no task sees them all.
+    """
+    part = F.spark_partition_id()
+    held = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumns({"_part": part, "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return held.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def events_of(events: DataFrame, job: str, value) -> DataFrame:
     """A job's events in the order in which they were written."""
     return by_key(events, job, value).orderBy("id")

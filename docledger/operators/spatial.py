@@ -66,6 +66,12 @@ def into_bands(tokens: DataFrame, columns: DataFrame, by: list[str]) -> DataFram
     return met.where((x >= F.col("left")) & (x < F.col("right")))
 
 
+def joined_cells(placed: DataFrame, by: list[str]) -> DataFrame:
+    """The text of each cell: the tokens that fell into one band of a row, from left to right."""
+    parts = F.array_sort(F.collect_list(F.struct("x0", "token_id", "text")))
+    return placed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+
 def nearest_header(words: DataFrame, headers: DataFrame, by: list[str]) -> DataFrame:
     """The header that each word is nearest to: by right edge under numeric columns, else by centre; of ties the leftmost."""
     met = words.join(headers, by)

@@ -55,7 +55,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from docledger.plans import queries_docs, queries_functions, queries_relational, queries_rules  # noqa: F401
+    from docledger.plans import queries_docs, queries_functions, queries_records, queries_relational, queries_rules  # noqa: F401
 
 
 def queries() -> dict:
