@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docledger.functions import confidence, dates, dims, ids, money, similarity, text, words
+from docledger.plans import oracle_parts
 from docledger.plans.catalog import AS_OF, query
 from docledger.plans.views import check_sum_sql
 
@@ -36,9 +37,20 @@ def _(t, spark):
     return t("inv_headers").select("o_orderkey", text.compact(F.concat("invoice_no", F.lit("/a.b"))).alias("k"))
 
 
-@query("f08_indel_ratio")
+@query("f08_indel_ratio", f"select p_partkey, r.ratio from part join {oracle_parts.ratio('select lower(p_name) as x, lower(p_type) as y from part', 'x', 'y')} r on r.a = lower(p_name) and r.b = lower(p_type)")
 def _(t, spark):
-    return t("part").select("p_partkey", similarity.ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"), similarity.token_set_ratio(F.lower("p_name"), F.lower("p_type")).alias("token_set"))
+    return t("part").select("p_partkey", similarity.ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
+
+
+_WORDS = "select p_partkey, list_sort(list_distinct(string_split(lower(p_name), ' '))) as x, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) as y0, case when p_partkey % 3 = 0 then list_sort(list_distinct(string_split(lower(p_type), ' '))) when p_partkey % 3 = 1 then list_sort(list_distinct(string_split('extra ' || substr(lower(p_name), 1, 9) || ' word', ' '))) else list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) end as y from part"
+_SETS = f"select p_partkey, c <> '' as common, trim(c || ' ' || array_to_string(list_filter(x, lambda w: not list_contains(y, w)), ' ')) as l, trim(c || ' ' || array_to_string(list_filter(y, lambda w: not list_contains(x, w)), ' ')) as r, c, len(list_filter(x, lambda w: not list_contains(y, w))) = 0 or len(list_filter(y, lambda w: not list_contains(x, w))) = 0 as inside from (select *, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') as c from ({_WORDS}) a) b"
+_THREE = f"select l as a, r as b from ({_SETS}) s union select c, l from ({_SETS}) s union select c, r from ({_SETS}) s"
+
+
+@query("f09_token_set", f"select p_partkey, case when common and inside then 100.0 when common then greatest(p.ratio, q.ratio, v.ratio) else p.ratio end as ratio from ({_SETS}) s join {oracle_parts.ratio(_THREE, 'a', 'b')} p on p.a = s.l and p.b = s.r join {oracle_parts.ratio(_THREE, 'a', 'b')} q on q.a = s.c and q.b = s.l join {oracle_parts.ratio(_THREE, 'a', 'b')} v on v.a = s.c and v.b = s.r")
+def _(t, spark):
+    other = F.expr("case p_partkey % 3 when 0 then lower(p_type) when 1 then concat('extra ', substr(lower(p_name), 1, 9), ' word') else lower(concat(p_name, ' ', p_type)) end")
+    return t("part").select("p_partkey", similarity.token_set_ratio(F.lower("p_name"), other).alias("ratio"))
 
 
 @query("f11_bounded_distance", "select p_partkey, levenshtein(p_brand, 'Brand#12') as d from part where levenshtein(p_brand, 'Brand#12') <= 2")
@@ -141,10 +153,16 @@ def _(t, spark):
     return t("part").select("p_partkey", ids.unit(u).alias("unit"))
 
 
-@query("f34_patterns", r"select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as emails, len(regexp_extract_all(text, '\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b')) as dates from documents")
+@query("f34_patterns", r"select doc_id, len(regexp_extract_all(text, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b')) as emails, len(regexp_extract_all(text, '\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})\b')) as dates, len(regexp_extract_all(text, '(?:\+91[\s-]?)?[6-9]\d{9}\b')) as phones, len(regexp_extract_all(text, '\b[1-9]\d{5}\b')) as pincodes from documents where text is not null")
+def _(t, spark):
+    n = lambda k: F.size(ids.found(F.col("text"), k)).cast("long")
+    return t("documents").where("text is not null").select("doc_id", n("email").alias("emails"), n("date").alias("dates"), n("phone").alias("phones"), n("pincode").alias("pincodes"))
+
+
+@query("f34_amounts", "select o_orderkey, 'Rs. ' || cast(o_orderkey as varchar) || '.50,1,200/-,$ 5,-7.25' as found from orders")
 def _(t, spark):
-    n = lambda k: F.regexp_count("text", F.lit(ids.PATTERNS[k])).cast("long")
-    return t("documents").select("doc_id", n("email").alias("emails"), n("date").alias("dates"))
+    text = F.concat(F.lit("a Rs. "), F.col("o_orderkey").cast("string"), F.lit(".50 b 1,200/- c $ 5 X7 -7.25"))
+    return t("orders").select("o_orderkey", F.array_join(ids.found(text, "amount"), ",").alias("found"))
 
 
 @query("f40_parse_date", "select l_orderkey, line_idx, cast(ship_date as varchar) as d, extract(day from ship_date) <= 12 and extract(day from ship_date) <> extract(month from ship_date) as ambiguous from raw_rows")
@@ -194,7 +212,7 @@ def _(t, spark):
     return t("raw_rows").select("l_orderkey", "line_idx", money.fraction_rate(F.col("rate_cell")).alias("rate"))
 
 
-@query("f55_words")
+@query("f55_words", f"select o_orderkey, cast(total as double) as total, {oracle_parts.rupees('total')} as words, cast(total as double) as amount, 1.0 as certainty from inv_headers where total is not null")
 def _(t, spark):
     x = t("inv_headers").where("total is not null").select("o_orderkey", "total", words.words_of(F.col("total")).alias("words"))
     return x.select("o_orderkey", "total", "words", words.amount_of(F.col("words")).alias("a")).select("o_orderkey", "total", "words", "a.amount", "a.certainty")
@@ -233,7 +251,7 @@ def _(t, spark):
     return t("events").select("event_id", F.round(F.element_at(box, 1), 9).alias("x0"))
 
 
-@query("f70_repair")
+@query("f70_repair", "select s_suppkey, substr(gstin, 8, 1) not in ('3', '4') as found from sup_ids")
 def _(t, spark):
     from docledger.operators import repair
 

@@ -125,13 +125,17 @@ def _(t, spark):
     return validation.validate(h, lines, AS_OF).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query("v15_words")
+_FITS = f"abs(total - (taxable + {_TAX})) <= 1"
+
+
+@query("v15_words", f"select o_orderkey as record, case when {_FITS} then 'WORDS_MISMATCH' else 'WORDS_TOTAL' end as code, case when {_FITS} then 'warning' else 'error' end as severity, {_FITS} as passed from inv_headers where total is not null and o_orderkey % 4 = 0 union all select o_orderkey, 'WORDS_UNPARSEABLE', 'warning', true from inv_headers where total is not null and o_orderkey % 4 = 1")
 def _(t, spark):
     from docledger.functions import words
 
-    x = t("inv_headers").where("total is not null").withColumn("words_text", words.words_of(F.expr("cast(total + case when o_orderkey % 4 = 0 then 1 else 0 end as decimal(18,2))")))
+    said = words.words_of(F.expr("cast(total + case when o_orderkey % 4 = 0 then 1 else 0 end as decimal(18,2))"))
+    x = t("inv_headers").where("total is not null").withColumn("words_text", F.when(F.col("o_orderkey") % 4 == 1, "no such words at all").otherwise(said))
     x = x.withColumn("words_amount", words.amount_of(F.col("words_text"))["amount"]).withColumnRenamed("o_orderkey", "record")
-    return validation.checks(x, t("inv_line_tax").withColumnRenamed("l_orderkey", "record").limit(0), AS_OF).where("code like 'WORDS%'").select("record", "code", "severity", "passed")
+    return validation.checks(x, t("inv_line_tax").withColumnRenamed("l_orderkey", "record"), AS_OF).where("code like 'WORDS%'").select("record", "code", "severity", "passed")
 
 
 @query("v29_field_status", "select doc_id, source, case when doc_id % 9 = 0 then 'human_verified' when doc_id % 10 = 0 then 'missing' when confidence >= 0.90 then 'accepted' else 'needs_review' end as status from hypotheses")

@@ -154,12 +154,14 @@ def replayable(stream: DataFrame, path: str, checkpoint: str, keys: list[str], s
     latest() reads the result: of a key's rows in all batches the last counts.
     """
 
-    def batch(df: DataFrame, number: int) -> None:
-        rest = [c for c in df.columns if c not in keys]
-        last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+    return stream.writeStream.foreachBatch(lambda df, number: replace_batch(df, number, path, keys, seq)).option("checkpointLocation", checkpoint)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+def replace_batch(df: DataFrame, number: int, path: str, keys: list[str], seq: str) -> None:
+    """The last row of each key of a batch, in place of what the batch of that number wrote before."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
+    last.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
 
 
 def latest(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:
