@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docledger.llm.common import Shared, arrow_limits, materialize, text_bytes
 
 #: Pre-tokens of a block; characters of a text beyond which no list of its pre-tokens is made; tokens unpacked at once.
-BLOCK_TOKENS, LONG_TEXT, CHUNK = 2_500_000, 500_000, 1 << 19
+BLOCK_TOKENS, LONG_TEXT, CHUNK = 1_500_000, 500_000, 1 << 18
 #: Buckets of words: at least so many, and one for so many bytes of text.
 LEAST_BUCKETS, BUCKET_BYTES = 32, 32 << 20
 

@@ -29,7 +29,9 @@ from docledger.llm.passages import shingles
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Fingerprints at home in a leaf, about, and in one task's share of a leaf at most; pairs compared at once.
-LEAF, SHARE, TILE, SMALL = 2000, 20_000, 1 << 22, 256
+LEAF, SHARE, TILE, SMALL = 2000, 20_000, 1 << 21, 256
+#: Pairs of wide fingerprints compared at once: in a dense cloud nearly all of them are candidates.
+WIDE_TILE = 1 << 18
 #: Bits of a tree, and so its levels at most.
 BITS = 32
 #: Similar documents: five-word shingles, their Jaccard similarity, and a fingerprint of four words of 64 bits. The first word
@@ -304,7 +306,7 @@ def _candidates(most: int, similarity: float, first: bool):
             xs.append(x)
             ys.append(y)
 
-        sought, step = np.zeros(len(near), bool), max(1, TILE // max(1, len(near)))
+        sought, step = np.zeros(len(near), bool), max(1, WIDE_TILE // max(1, len(near)))
         for i in range(0, len(home), step):
             own = home[i : i + step]
             a, b = np.nonzero(np.bitwise_count(own["wide"][:, 0][:, None] ^ near["wide"][:, 0][None, :]) < 2 * PARTS)
