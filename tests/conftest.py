@@ -15,7 +15,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", tempfile.mkdtemp()).getOrCreate()
+        .config("spark.driver.memory", "6g").config("spark.sql.ui.retainedExecutions", "1").config("spark.ui.retainedJobs", "1").config("spark.ui.retainedStages", "1").config("spark.ui.retainedTasks", "100").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", tempfile.mkdtemp()).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
