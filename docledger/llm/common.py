@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch sent to a Python worker.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -434,6 +434,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = tried = None
     for most in (NEAREST, MORE):
         state = distinct.select("digest", "n", "wide").join(grouped, "digest")
+        if tried is not None:  # who had no candidate in the first round has none
+            state = state.join(materialize(tried.select(F.col("x").alias("digest")).union(tried.select("y")).distinct(), "similar-met"), "digest", "left_semi")
         planted = state.mapInArrow(_plant_records(levels), "tree int, leaf long, home binary, visitors binary")
         found = materialize(_dealt(planted, share, RECORD.itemsize).groupBy("tree", "leaf", "task").applyInArrow(_candidates(most, similarity, most == NEAREST), "kind int, x long, y long"), "similar-found")
         pairs = found.where(F.col("kind") == PAIR).select("x", "y").distinct()
