@@ -56,9 +56,9 @@ def is_ambiguous(x: Column) -> Column:
     return F.coalesce(t.rlike(NUMERIC) & (a <= 12) & (b <= 12) & (a != b), F.lit(False))
 
 
-def date_notes(x: Column, as_of: Column) -> Column:
-    """What is odd about a date text on a given day."""
-    d = parse_date(x)
+def date_notes(x: Column, as_of: Column, parsed: Column | None = None) -> Column:
+    """What is odd about a date text on a given day. parsed: its date, where a column has it already."""
+    d = parse_date(x) if parsed is None else parsed
     notes = F.array(
         F.when(is_ambiguous(x), "DATE_AMBIGUOUS_DAY_FIRST"),
         F.when(x.isNull(), "DATE_MISSING").when(d.isNull(), "DATE_INVALID"),

@@ -44,22 +44,23 @@ def normalised(rows: DataFrame, field: str, raw: str, as_of: Column, out: str =
     """
     name, x = F.lower(F.substring_index(F.col(field), ".", -1)), F.col(raw)
     df = money.with_money(rows.withColumns({"_k": name, "_m": F.when(name.isin(*MONEY_FIELDS), x)}), "_m", "_money")
-    k, text = F.col("_k"), squeeze(x)
-    date, tax, state, unit, hsn = dates.parse_date(x), ids.gstin_normal(x), ids.state_of(x), ids.unit(x), ids.hsn(x)
-    rate, amount = money.parse_rate(x), F.translate(lookalikes(ascii_digits(squeeze(x))), ",", "")
+    # What is used more than once is a column of its own, so that its expression is there once.
+    df = df.withColumns({"_text": squeeze(x), "_amount": F.translate(lookalikes(ascii_digits(squeeze(x))), ",", ""), "_date": dates.parse_date(x), "_hsn": ids.hsn(x), "_state": ids.state_of(x), "_unit": ids.unit(x), "_rate": money.parse_rate(x), "_bool": boolean(x)})
+    k, text, amount = F.col("_k"), F.col("_text"), F.col("_amount")
+    date, tax, state, unit, hsn, rate, said_so = F.col("_date"), ids.gstin_normal(x), F.col("_state"), F.col("_unit"), F.col("_hsn"), F.col("_rate"), F.col("_bool")
     quantity = F.when(amount.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), amount.try_cast("decimal(38,10)"))
     no_text = F.coalesce(text, F.lit("")) == ""
     cases = [
         (k.isin(*MONEY_FIELDS), F.col("_money").cast("string"), F.col("_money_notes")),
-        (k.isin(*DATE_FIELDS), date.cast("string"), dates.date_notes(x, as_of)),
+        (k.isin(*DATE_FIELDS), date.cast("string"), dates.date_notes(x, as_of, date)),
         (k.isin(*GSTIN_FIELDS), tax, _notes((tax.isNull(), "GSTIN_EMPTY"))),
         (k == "tax_rate", money.short(rate), _notes((no_text, "RATE_MISSING"), (~no_text & rate.isNull(), "RATE_INVALID"))),
         (k == "quantity", money.short(quantity), _notes((quantity.isNull(), "QUANTITY_INVALID"))),
-        (k == "hsn_sac", hsn, _notes(*[(ids.hsn_note(x) == n, n) for n in ("HSN_MISSING", "HSN_FORMAT")])),
+        (k == "hsn_sac", hsn, F.array_compact(F.array(ids.hsn_note(x)))),
         (k == "place_of_supply", F.nullif(F.coalesce(state, text), F.lit("")), _notes((no_text, "POS_MISSING"), (~no_text & state.isNull(), "STATE_UNKNOWN"))),
-        (k == "unit", unit, _notes((~ids.unit_known(x), "UOM_UNKNOWN"))),
-        (k.isin(*BOOLEAN_FIELDS), boolean(x), _notes((boolean(x).isNull(), "BOOLEAN_INVALID"))),
-        (k == "invoice_no", ids.invoice_no(x), _notes(*[(ids.invoice_no_note(x) == n, n) for n in ("INVOICE_NUMBER_MISSING", "INVOICE_NUMBER_RULE46")])),
+        (k == "unit", unit, _notes((~F.coalesce(unit.isin(*dims.UNITS), F.lit(False)), "UOM_UNKNOWN"))),
+        (k.isin(*BOOLEAN_FIELDS), said_so, _notes((said_so.isNull(), "BOOLEAN_INVALID"))),
+        (k == "invoice_no", ids.invoice_no(x), F.array_compact(F.array(ids.invoice_no_note(x)))),
         (k == "document_type", document_kind(x), _notes()),
         (k.isin(*TEXT_FIELDS), F.nullif(text, F.lit("")), _notes()),
     ]
@@ -67,7 +68,7 @@ def normalised(rows: DataFrame, field: str, raw: str, as_of: Column, out: str =
     for cond, v, n in cases:
         value, said = value.when(cond, v), said.when(cond, n.cast("array<string>"))
     value, said = value.otherwise(F.nullif(text, F.lit(""))), said.otherwise(F.array(F.lit("FIELD_UNRECOGNIZED")))
-    return df.withColumns({out: value, notes: said}).drop("_k", "_m", "_money", "_money_notes")
+    return df.withColumns({out: value, notes: said}).drop("_k", "_m", "_money", "_money_notes", "_text", "_amount", "_date", "_hsn", "_state", "_unit", "_rate", "_bool")
 
 
 def cell_fields(cells: DataFrame, field: str, raw: str, source: str, ref: str, as_of: Column) -> DataFrame:

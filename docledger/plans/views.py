@@ -107,20 +107,20 @@ select o_orderkey as doc_id, 'total_amount' as field, src as source, case when o
 from orders cross join (select 'ocr' as src, 3 as k, 31 as m union all select 'rules', 4, 17 union all select 'vlm', 5, 11 union all select 'qr', 1000, 37) s"""
 
 
-#: The folder that each application's views read.
-_registered: dict[str, str] = {}
+#: The folder that each session's views read.
+_registered: dict[int, str] = {}
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views over the tables of a folder; plans made before keep theirs."""
-    app = spark.sparkContext.applicationId
-    if _registered.get(app) == sf_dir:
+    """Temporary views of this session over the tables of a folder; plans made before, over another folder, keep theirs."""
+    session = spark._jsparkSession.hashCode()
+    if _registered.get(session) == sf_dir:
         return
     for name in BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, sql in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
-    _registered[app] = sf_dir
+    _registered[session] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,26 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.operators import dedupe, export, jobs, validation
+from docledger.operators import records as records_of
 from docledger.sources import files, tabular
 
 
 class Ledger:
-    """Spreadsheets of a folder as invoices. All results are DataFrames; nothing runs before it is asked for."""
+    """Spreadsheets of a folder, and texts of documents, as invoices. All results are DataFrames; nothing runs before it is asked for."""
 
     def __init__(self, spark: SparkSession, as_of: str):
         self.spark, self.as_of = spark, as_of
 
     def ingest(self, path: str, pattern: str = "*") -> dict[str, DataFrame]:
-        """records, lines, mapping, unmapped, warnings and errors of the files below a folder."""
+        """records, lines, mapping, unmapped, warnings and errors of the files below a folder, and their cells.
+
+        All of them read the cells, which are kept once they are first asked for: hand the result to release() when done.
+        """
         cells = files.cells(files.scan(self.spark, path, pattern)).persist()
         found = tabular.sheets(cells)
         table = tabular.rows(cells, found)
-        columns = found.select("path", "sheet", F.explode(F.arrays_zip("headers", "names", "methods", "confidences")).alias("c")).select("path", "sheet", F.col("c.headers").alias("source_column"), F.col("c.names").alias("canonical_column"), F.col("c.methods").alias("method"), F.col("c.confidences").alias("confidence"))
-        no_header = found.where("header_row = 0").select("path", F.col("sheet").alias("source_ref"), F.lit("HEADER_NOT_FOUND").alias("code"))
+        zipped = found.select("path", "sheet", F.explode(F.arrays_zip("headers", "names", "methods", "confidences")).alias("c"))
+        columns = zipped.select("path", "sheet", F.col("c.headers").alias("source_column"), F.col("c.names").alias("canonical_column"), F.col("c.methods").alias("method"), F.col("c.confidences").alias("confidence"))
+        records, lines = tabular.records(table), tabular.lines(table)
+        noted = cells.where("code in ('HIDDEN_CONTENT_IGNORED', 'FORMULAS_NOT_CALCULATED', 'FORMAT_MISMATCH')").select("path", F.col("message").alias("source_ref"), "code")
+        warned = tabular.warnings(table).unionByName(tabular.sheet_warnings(found)).unionByName(tabular.without_lines(records, lines)).unionByName(noted)
         return {
-            "records": tabular.records(table), "lines": tabular.lines(table), "mapping": columns.where("canonical_column is not null"), "unmapped": columns.where("canonical_column is null").select("path", "sheet", "source_column"),
-            "warnings": tabular.warnings(table).unionByName(no_header.select("path", "source_ref", "code")), "errors": cells.where("code is not null").select("path", "code", "message"),
-        }
+            "records": records,
+            "lines": lines,
+            "mapping": columns.where("canonical_column is not null"),
+            "unmapped": columns.where("canonical_column is null").select("path", "sheet", "source_column"),
+            "warnings": warned,
+            "errors": cells.where("code is not null").select("path", "code", "message"),
+            "cells": cells,
+        }
+
+    @staticmethod
+    def release(ingested: dict[str, DataFrame]) -> None:
+        """Frees what ingest() kept."""
+        ingested["cells"].unpersist()
+
+    def read_texts(self, docs: DataFrame, key: str = "doc_id", text: str = "text", model: DataFrame | None = None) -> dict[str, DataFrame]:
+        """fields (one value each, with confidence and status), lines, headers and body (as the rules take them) of documents' texts."""
+        return records_of.from_texts(docs, key, text, self.as_of, model)
 
     @staticmethod
     def shaped(records: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,14 +7,16 @@ import datetime as dt
 import io
 import posixpath
 import re
+import unicodedata
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_BYTES, MOST_ROWS, MOST_SHEETS, MOST_EXPANDED, MOST_MEMBERS, MOST_RATIO = 25 << 20, 200_000, 20, 100 << 20, 10_000, 200
+#: Limits: bytes of a file, rows and sheets; of an archive its expanded bytes at intake and for the reader, members and ratio; files of an upload.
+MOST_BYTES, MOST_ROWS, MOST_SHEETS, MOST_EXPANDED, READER_EXPANDED, MOST_MEMBERS, MOST_RATIO, MOST_FILES = 25 << 20, 200_000, 20, 100 << 20, 200 << 20, 10_000, 200, 10
 DELIMITERS = ",;\t|"
 
 
@@ -42,13 +44,23 @@ def magic(content: Column) -> Column:
     )
 
 
-def _unzip(raw: bytes) -> zipfile.ZipFile:
+def upload_errors(files: DataFrame, upload: str, order: str) -> DataFrame:
+    """upload, path and code of files that an upload may not hold: larger than MOST_BYTES, or beyond the first MOST_FILES."""
+    nth = F.row_number().over(Window.partitionBy(upload).orderBy(order))
+    code = F.when(nth > MOST_FILES, "TOO_MANY_FILES").when(F.col("length") > MOST_BYTES, "FILE_TOO_LARGE")
+    return files.withColumn("code", code).where("code is not null").select(upload, "path", "code")
+
+
+def _unzip(raw: bytes, reader: bool = False) -> zipfile.ZipFile:
+    """An archive within the limits of intake, or of the reader."""
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
         infos = z.infolist()
     except zipfile.BadZipFile as e:
         raise BadFile("CORRUPT_FILE", "not a readable archive") from e
-    if len(infos) > MOST_MEMBERS or sum(i.file_size for i in infos) > MOST_EXPANDED or any(i.file_size > 1 << 20 and i.file_size > MOST_RATIO * max(1, i.compress_size) for i in infos):
+    if reader and sum(i.file_size for i in infos) > READER_EXPANDED:
+        raise BadFile("ARCHIVE_TOO_LARGE", "the workbook expands too far")
+    if not reader and (len(infos) > MOST_MEMBERS or sum(i.file_size for i in infos) > MOST_EXPANDED or any(i.file_size > 1 << 20 and i.file_size > MOST_RATIO * max(1, i.compress_size) for i in infos)):
         raise BadFile("FILE_TOO_LARGE", "the archive expands too far")
     if any(i.filename.startswith("/") or ".." in i.filename.split("/") for i in infos):
         raise BadFile("ARCHIVE_UNSAFE", "a member points outside")
@@ -66,7 +78,7 @@ def detect(raw: bytes) -> str:
         if "xl/workbook.xml" in _unzip(raw).namelist():
             return "xlsx"
         raise BadFile("UNSUPPORTED_FORMAT", "an archive, but no workbook")
-    if raw.startswith(b"\xd0\xcf\x11\xe0") or b"\0" in raw[:8192] and not raw.startswith((b"\xff\xfe", b"\xfe\xff")):
+    if raw.startswith(b"\xd0\xcf\x11\xe0") or b"\0" in raw[:8192] and not charset(raw).startswith("utf-16"):
         raise BadFile("UNSUPPORTED_FORMAT")
     text = decode(raw[: 1 << 16])
     if max(_fit(text, d)[0] for d in DELIMITERS) < 2:
@@ -74,18 +86,68 @@ def detect(raw: bytes) -> str:
     return "csv"
 
 
-def decode(raw: bytes) -> str:
-    """By its mark, else UTF-8 (a cut last character aside), else Windows-1252."""
+#: Character sets that are tried for texts that are neither marked nor UTF-8, in this order among equals.
+CHARSETS = ("cp1252", "cp1251", "cp1253", "cp1255", "cp1256", "gb18030", "big5", "shift_jis", "euc_kr")
+
+
+#: Vowels of scripts whose character sets take each other's letters for their own, and the share of letters that they are at least.
+VOWELS, VOWEL_SHARE = {"GREEK": "αεηιουωάέήίόύώ", "CYRILLIC": "аеёиоуыэюяіїє"}, 0.35
+
+
+def _plausible(text: str) -> float:
+    """How well the characters beyond ASCII of a decoded text go together: the share that are letters next to a letter of their script,
+    less where too few of these are vowels.
+    """
+    beyond = [i for i, c in enumerate(text) if c > "\x7f"]
+    if not beyond:
+        return 0.0
+    kind = lambda c: unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+    fits = 0
+    for i in beyond:
+        near = [kind(text[j]) for j in (i - 1, i + 1) if 0 <= j < len(text)]
+        fits += bool(kind(text[i])) and kind(text[i]) in near and not (kind(text[i]) == "LATIN" and all(j > "\x7f" for j in text[max(0, i - 1) : i + 2]))
+    weight = 1.0
+    for script, vowels in VOWELS.items():
+        letters = [c for c in text.lower() if c > "\x7f" and kind(c) == script]
+        if len(letters) > len(beyond) / 2:
+            weight = min(1.0, sum(c in vowels for c in letters) / len(letters) / VOWEL_SHARE)
+    return fits / len(beyond) * weight
+
+
+def charset(raw: bytes) -> str:
+    """The character set of a text: by its mark; UTF-16 by its zero bytes; UTF-8 (a cut last character aside); else the one of
+    CHARSETS whose letters go together best.
+    """
     if raw.startswith(b"\xef\xbb\xbf"):
-        return raw.decode("utf-8-sig", "replace")
+        return "utf-8-sig"
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return raw.decode("utf-16", "replace")
+        return "utf-16"
+    head = raw[:4096]
+    for at, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(head) >= 8 and head[at::2].count(0) > 0.6 * (len(head) // 2) and head[1 - at :: 2].count(0) < 0.1 * (len(head) // 2):
+            return name
     for cut in range(4):
         try:
-            return raw[: len(raw) - cut].decode("utf-8")
+            raw[: len(raw) - cut].decode("utf-8")
+            return "utf-8"
         except UnicodeDecodeError:
             pass
-    return raw.decode("cp1252", "replace")
+    best = ("cp1252", 0.0)
+    for name in CHARSETS:
+        try:
+            score = _plausible(raw[: 1 << 16].decode(name))
+        except UnicodeDecodeError:
+            continue
+        if score > best[1] + 0.1:
+            best = name, score
+    return best[0]
+
+
+def decode(raw: bytes) -> str:
+    """A text in its character set; what does not fit is replaced."""
+    name = charset(raw)
+    text = raw.decode(name, "replace")
+    return text[:-1] if name == "utf-8" and text.endswith("\ufffd") else text
 
 
 def _fit(text: str, delimiter: str) -> tuple[int, int]:
@@ -138,7 +200,7 @@ def _at(ref: str) -> tuple[int, int]:
 
 def xlsx_rows(raw: bytes) -> tuple[list[tuple[str, int, list[str]]], list[tuple[str, str]]]:
     """(rows as of csv_rows, warnings (code, where)): visible sheets, rows and columns; merged cells filled from their first."""
-    z, rows, warnings = _unzip(raw), [], []
+    z, rows, warnings = _unzip(raw, reader=True), [], []
     try:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
