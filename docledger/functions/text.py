@@ -60,8 +60,9 @@ def compact(x: Column) -> Column:
 
 
 def safe_filename(x: Column) -> Column:
+    """The last part of a path with letters, digits, dots, spaces, hyphens and underscores only, 120 characters at most; `upload` if nothing is left."""
     base = F.regexp_replace(F.regexp_extract(x, "([^/\\\\]*)$", 1), "[^A-Za-z0-9._ -]", "_")
-    return F.substring(F.trim(base), 1, 120)
+    return F.coalesce(F.nullif(F.substring(F.trim(base, F.lit(" .")), 1, 120), F.lit("")), F.lit("upload"))
 
 
 def formula_safe(x: Column) -> Column:

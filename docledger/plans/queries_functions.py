@@ -281,7 +281,8 @@ def _(t, spark):
     return t("inv_lines").select("l_orderkey", "line_idx", text.formula_safe(v).alias("safe"))
 
 
-@query("p26_safe_filename", "select doc_id, substr(trim(regexp_replace(regexp_replace(substr(text, 1, 40), '^.*[/\\\\]', '', 'g'), '[^A-Za-z0-9._ -]', '_', 'g')), 1, 120) as name from documents where substr(text, 1, 40) not like '%' || chr(10) || '%'")
+@query("p26_safe_filename", "select doc_id, coalesce(nullif(substr(trim(regexp_replace(regexp_extract(text, '[^/\\\\]*$'), '[^A-Za-z0-9._ -]', '_', 'g'), ' .'), 1, 120), ''), 'upload') as name from documents")
 def _(t, spark):
-    x = F.substring("text", 1, 40)
-    return t("documents").where(~x.contains("\n")).select("doc_id", text.safe_filename(x).alias("name"))
+    return t("documents").select("doc_id", text.safe_filename(F.col("text")).alias("name"))
+
+

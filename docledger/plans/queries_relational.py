@@ -363,10 +363,10 @@ def _(t, spark):
     return jobs.retry(t("jobs"), t("doc_keys"), t("jobs").where("status = 'queued'").select("id"))[1].select("job_id")
 
 
-@query("m09_schema_evolution", "select id, filename, null::varchar as batch_id from jobs where id like '%1' union all select id, filename, 'b' from jobs where id like '%2'")
+@query("m09_schema_evolution", "select id, filename, null::varchar as batch_id from jobs where id like '%1' union all select id, filename, 'b' from jobs where id not like '%1'")
 def _(t, spark):
     j = t("jobs").select("id", "filename")
-    return j.where("id like '%1'").unionByName(j.where("id like '%2'").withColumn("batch_id", F.lit("b")), allowMissingColumns=True)
+    return j.where("id like '%1'").unionByName(j.where("id not like '%1'").withColumn("batch_id", F.lit("b")), allowMissingColumns=True)
 
 
 _ACT = "case event_id % 5 when 0 then 'approve' when 1 then 'reject' when 2 then 'reopen' else 'edit' end"
