@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import Shared, arrow_limits, materialize, text_bytes
+from docledger.llm.common import Shared, arrow_limits, materialize, text_bytes, trimmed, trimmed_group
 
 #: Pre-tokens of a block; characters of a text beyond which no list of its pre-tokens is made; tokens unpacked at once.
-BLOCK_TOKENS, LONG_TEXT, CHUNK = 1_500_000, 500_000, 1 << 18
+BLOCK_TOKENS, LONG_TEXT, CHUNK = 1_000_000, 500_000, 1 << 18
 #: Buckets of words: at least so many, and one for so many bytes of text.
 LEAST_BUCKETS, BUCKET_BYTES = 32, 32 << 20
 
@@ -223,6 +223,24 @@ def _reassemble(shared, pattern: str, id_type: pa.DataType):
     return run
 
 
+def _grouped(f):
+    trimming = trimmed_group(f)
+
+    def run(group: pa.Table) -> pa.Table:
+        return trimming(group)
+
+    return run
+
+
+def _cogrouped(f):
+    trimming = trimmed_group(f)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return trimming(left, right)
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes) of every row.
 
@@ -242,12 +260,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     size = text_bytes(docs, "text")
     n_buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     sql_kind = kind.simpleString()
-    blocks = docs.mapInArrow(_blocks(pattern, n_buckets, to_arrow_type(kind), block_tokens), f"block long, ids array<{sql_kind}>, counts binary, stream binary, buckets binary, words binary")
+    blocks = docs.mapInArrow(trimmed(_blocks(pattern, n_buckets, to_arrow_type(kind), block_tokens)), f"block long, ids array<{sql_kind}>, counts binary, stream binary, buckets binary, words binary")
     blocks = materialize(blocks, "bpe-blocks", bucket_by="block", n_buckets=n_buckets)
-    dealt = blocks.select("block", "words", "buckets").mapInArrow(_deal, "bucket long, block long, words binary")
-    encoded = dealt.groupBy("bucket").applyInArrow(_encode_bucket(shared, pattern), "bucket long, block long, lengths binary, ids binary")
+    dealt = blocks.select("block", "words", "buckets").mapInArrow(trimmed(_deal), "bucket long, block long, words binary")
+    encoded = dealt.groupBy("bucket").applyInArrow(_grouped(_encode_bucket(shared, pattern)), "bucket long, block long, lengths binary, ids binary")
     left = blocks.select("block", "ids", "counts", "stream", "buckets").groupBy("block")
-    return left.cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(shared, pattern, to_arrow_type(kind)), f"doc_id {sql_kind}, n_tokens long, ids binary, decoded binary")
+    return left.cogroup(encoded.groupBy("block")).applyInArrow(_cogrouped(_reassemble(shared, pattern, to_arrow_type(kind))), f"doc_id {sql_kind}, n_tokens long, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,37 @@ def free(*dfs: DataFrame) -> None:
                 path.getFileSystem(hadoop).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that this worker has freed back to the machine: workers are used again, and hold what they once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(batches_of):
+    """A function of batches that trims when it is done."""
+
+    def run(batches):
+        yield from batches_of(batches)
+        trim()
+
+    return run
+
+
+def trimmed_group(group_of):
+    """A function of one or two groups that trims when it is done."""
+
+    def run(*groups):
+        out = group_of(*groups)
+        trim()
+        return out
+
+    return run
+
+
 _held: dict = {}
 
 

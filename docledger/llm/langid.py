@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import Shared, arrow_limits
+from docledger.llm.common import Shared, arrow_limits, trimmed
 
 #: The model: hashed trigrams, smoothing, labelled documents learnt from per language (a hash sample of about so many),
 #: and how many languages there may be.
@@ -84,7 +84,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     # Sums of a few tasks first, then of all: a row for each language comes to the driver, MOST_LANGUAGES of 256 kB at most.
     layout = "lang string, counts binary"
-    part = docs.where(place < share).select("lang", "text").mapInArrow(count, layout)
+    part = docs.where(place < share).select("lang", "text").mapInArrow(trimmed(count), layout)
     part = part.groupBy("lang", F.pmod(F.spark_partition_id(), F.lit(PARTS))).applyInArrow(add, layout).groupBy("lang").applyInArrow(add, layout)
     rows = sorted(((r["lang"], np.frombuffer(zlib.decompress(r["counts"]), np.int64)) for r in part.collect()), key=lambda r: r[0])
     if not rows:

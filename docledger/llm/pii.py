@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import Shared, arrow_limits, fresh, materialize
+from docledger.llm.common import Shared, arrow_limits, fresh, materialize, trimmed
 
 #: Entities off the first attempt that every worker is given at most (beyond, they go to their documents by a join), and attempts at most.
 BLOCK, ATTEMPTS = 200_000, 50
@@ -374,7 +374,7 @@ def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", out: str = "
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    entities = materialize(docs.select(F.col(text_col)).mapInArrow(_scan, "kind string, canon string").distinct(), "pii-entities")
+    entities = materialize(docs.select(F.col(text_col)).mapInArrow(trimmed(_scan), "kind string, canon string").distinct(), "pii-entities")
     later = materialize(later_attempts(entities, key), "pii-later")
     text, new = F.col(text_col), fresh("new")
     few = later.limit(block + 1).collect()
@@ -382,7 +382,7 @@ def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", out: str = "
         shared = Shared(spark, {(r[0], r[1]): r[2] for r in few})
         rows = docs.withColumn(new, _replacer(key, shared.get)(text, F.lit(None).cast(CORRECTIONS)))
         return rows.withColumns({out: F.col(f"{new}.text"), count: F.col(f"{new}.n")}).drop(new)
-    places = docs.select(F.col(text_col)).mapInArrow(_occurrences, "digest binary, kind string, canon string").distinct()
+    places = docs.select(F.col(text_col)).mapInArrow(trimmed(_occurrences), "digest binary, kind string, canon string").distinct()
     digest, own = fresh("digest"), fresh("own")
     per_text = places.join(later, ["kind", "canon"]).groupBy(F.col("digest").alias(digest)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).cast(CORRECTIONS).alias(own))
     rows = docs.withColumn(digest, F.unhex(F.md5(text.cast("binary")))).join(materialize(per_text, "pii-per-text"), digest, "left")

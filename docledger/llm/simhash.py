@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import arrow_limits, free, materialize
+from docledger.llm.common import arrow_limits, free, materialize, trimmed
 from docledger.llm.graphs import components
 from docledger.llm.passages import shingles
 
@@ -402,7 +402,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = materialize(rows.mapInArrow(_sketch, f"doc_id {kind}, digest long, n int, wide binary"), "similar-prints")
+    prints = materialize(rows.mapInArrow(trimmed(_sketch), f"doc_id {kind}, digest long, n int, wide binary"), "similar-prints")
     distinct = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide")), "similar-distinct")
     n = distinct.count()
     levels = min(64 // PARTS, max(0, math.ceil(math.log2(n / leaf)))) if n else 0
@@ -414,7 +414,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for known in held:
             needed = needed.join(known.select("digest"), "digest", "left_anti")
         needed = materialize(distinct.join(needed, "digest", "left_semi").select("digest", F.col("least").alias("doc_id")), "similar-needed")
-        held.append(materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(_texts, "digest long, text binary").dropDuplicates(["digest"]), "similar-texts"))
+        held.append(materialize(rows.join(needed, "doc_id").select("digest", "text").mapInArrow(trimmed(_texts), "digest long, text binary").dropDuplicates(["digest"]), "similar-texts"))
         out = held[0]
         for more in held[1:]:
             out = out.union(more)
@@ -423,7 +423,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def verified(pairs: DataFrame) -> DataFrame:
         texts = text_of(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")))
         full = pairs.join(texts.select(F.col("digest").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("digest").alias("y"), F.col("text").alias("b")), "y").select("x", "y", "a", "b")
-        return materialize(full.mapInArrow(_verify(similarity), "x long, y long, good boolean"), "similar-verified")
+        return materialize(full.mapInArrow(trimmed(_verify(similarity)), "x long, y long, good boolean"), "similar-verified")
 
     def regrouped(edges: DataFrame) -> DataFrame:
         labels = materialize(components(edges, "x", "y"), "similar-labels")
