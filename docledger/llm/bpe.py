@@ -279,7 +279,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        table = shared.get(lambda r: {v: k for k, v in r.items()})
+        table = shared.get(lambda r: {v: k for k, v in r.items()}, "table")
         return ids.map(lambda b: None if b is None else b"".join(table[i] for i in np.frombuffer(b, "<u4").tolist()).decode("utf-8", "replace"))
 
     return encoded.withColumn("text", text(F.col(ids_col)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import pickle
 import re
 import tempfile
@@ -113,15 +114,22 @@ _held: dict = {}
 
 
 class Shared:
-    """A broadcast value of bounded size, and what each worker builds of it, once for each process."""
+    """A broadcast value of bounded size, and what each worker builds of it, once for each process.
 
-    def __init__(self, spark: SparkSession, value):
-        self.token, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(value))
+    What is built is kept under the value's digest, so that a worker that is used again for the same value builds it no more;
+    the eight last ones are kept.
+    """
 
-    def get(self, build=None):
-        if self.token not in _held:
-            if len(_held) >= 8:
-                _held.clear()
+    def __init__(self, spark: SparkSession, value):
+        raw = pickle.dumps(value)
+        self.token, self.broadcast = hashlib.md5(raw).hexdigest(), spark.sparkContext.broadcast(raw)
+
+    def get(self, build=None, kind: str = ""):
+        """The value, or what `build` makes of it; kind tells different things built of one value apart."""
+        at = self.token, kind
+        if at not in _held:
+            while len(_held) >= 8:
+                del _held[next(iter(_held))]
             value = pickle.loads(self.broadcast.value)
-            _held[self.token] = build(value) if build else value
-        return _held[self.token]
+            _held[at] = build(value) if build else value
+        return _held[at]
