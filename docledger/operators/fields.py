@@ -45,7 +45,13 @@ def normalised(rows: DataFrame, field: str, raw: str, as_of: Column, out: str =
     name, x = F.lower(F.substring_index(F.col(field), ".", -1)), F.col(raw)
     df = money.with_money(rows.withColumns({"_k": name, "_m": F.when(name.isin(*MONEY_FIELDS), x)}), "_m", "_money")
     # What is used more than once is a column of its own, so that its expression is there once.
-    df = df.withColumns({"_text": squeeze(x), "_amount": F.translate(lookalikes(ascii_digits(squeeze(x))), ",", ""), "_date": dates.parse_date(x), "_hsn": ids.hsn(x), "_state": ids.state_of(x), "_unit": ids.unit(x), "_rate": money.parse_rate(x), "_bool": boolean(x)})
+    # Each is read only where its field asks for it.
+    of = lambda *names: F.when(F.col("_k").isin(*names), x)
+    quantity = of("quantity")
+    df = df.withColumns({
+        "_text": squeeze(x), "_amount": F.translate(lookalikes(ascii_digits(squeeze(quantity))), ",", ""), "_date": dates.parse_date(of(*DATE_FIELDS)), "_hsn": ids.hsn(of("hsn_sac")),
+        "_state": ids.state_of(of("place_of_supply")), "_unit": ids.unit(of("unit")), "_rate": money.parse_rate(of("tax_rate")), "_bool": boolean(of(*BOOLEAN_FIELDS)),
+    })
     k, text, amount = F.col("_k"), F.col("_text"), F.col("_amount")
     date, tax, state, unit, hsn, rate, said_so = F.col("_date"), ids.gstin_normal(x), F.col("_state"), F.col("_unit"), F.col("_hsn"), F.col("_rate"), F.col("_bool")
     quantity = F.when(amount.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), amount.try_cast("decimal(38,10)"))

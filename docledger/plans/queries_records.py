@@ -373,7 +373,8 @@ def _(t, spark):
 
 @query("v34_repaired", "select s_suppkey, 'gstin_checksum' as method, gstin as corrected, 0.85 as confidence_after from sup_ids where gstin like '%0%' and substr(gstin, 8, 1) = '0'")
 def _(t, spark):
-    f = t("sup_ids").where("gstin like '%0%' and substr(gstin, 8, 1) = '0'").select("s_suppkey", F.lit("supplier_gstin").alias("field"), F.expr("concat(substr(gstin, 1, 7), 'O', substr(gstin, 9))").alias("value"), F.lit(0.97).alias("confidence"), F.lit("needs_review").alias("status"), F.array("gstin").alias("alternatives"))
+    ids_ = t("sup_ids").groupBy("s_suppkey").agg(F.max("gstin").alias("gstin"))  # a column, not the expression that makes it
+    f = ids_.where("gstin like '%0%' and substr(gstin, 8, 1) = '0'").select("s_suppkey", F.lit("supplier_gstin").alias("field"), F.expr("concat(substr(gstin, 1, 7), 'O', substr(gstin, 9))").alias("value"), F.lit(0.97).alias("confidence"), F.lit("needs_review").alias("status"), F.array("gstin").alias("alternatives"))
     _, done, _ = repair.repaired_fields(f, "s_suppkey")
     return done.select("s_suppkey", "method", "corrected", "confidence_after")
 
