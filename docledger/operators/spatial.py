@@ -98,7 +98,11 @@ def line_features(tokens: DataFrame, by: list[str]) -> DataFrame:
 
 
 def orientation(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """The angle whose landscape tokens weigh most (confidence times width); of ties the smallest."""
+    """The angle whose landscape tokens weigh most (confidence times width, to nine places); of ties the smallest.
+
+    Weights are summed as decimals: sums of doubles hang on the order of the rows, and angles of equal weight would differ in noise.
+    """
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    s = tokens.groupBy(*by, "angle").agg(F.sum(F.when(w >= h, F.col("conf") * w).otherwise(0.0)).alias("weight"))
+    one = (F.col("conf") * w).cast("double").try_cast("decimal(28,9)")
+    s = tokens.groupBy(*by, "angle").agg(F.coalesce(F.sum(F.when(w >= h, one)), F.lit(0)).alias("weight"))
     return s.groupBy(*by).agg(F.min_by("angle", F.struct(-F.col("weight"), "angle")).alias("angle"))
