@@ -59,7 +59,15 @@ def header_fields(tokens: DataFrame, key: str, layout: DataFrame | None = None,
 
 def bands(tokens: DataFrame, key: str, key_type: str, tolerance: float = BAND) -> DataFrame:
     """line_id of each token: bands of tokens whose centres are within the tolerance of their first one's."""
-    return spatial.cluster_lines(tokens, [key], f"{key} {key_type}", tolerance, most_gap=0.0)
+    slim = tokens.select(F.col(key).cast(key_type).alias(key), F.col("token_id").cast("long").alias("token_id"), "x0", "y0", "y1")
+    return spatial.banded(spatial.pages(slim, [key]), [key], tolerance).select(key, "token_id", "line_id")
+
+
+def _between(page: DataFrame, key: str) -> DataFrame:
+    """Bands of the tokens of pages (key, tokens, top, bottom) whose centres lie from top to bottom."""
+    mid = lambda t: (t["y0"] + t["y1"]) / 2
+    held = F.filter("tokens", lambda t: (mid(t) >= F.col("top")) & (mid(t) <= F.col("bottom")))
+    return spatial.banded(page.select(key, held.alias("tokens")), [key], BAND)
 
 
 def _strings(tokens: DataFrame, by: list[str]) -> DataFrame:

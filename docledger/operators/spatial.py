@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,30 @@ def cluster_lines(tokens: DataFrame, by: list[str], schema_by: str, tolerance: f
     return tokens.select(*by, "token_id", "x0", "y0", "x1", "y1").groupBy(*by).applyInPandas(page, f"{schema_by}, token_id long, line_id int")
 
 
+def pages(tokens: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """by, tokens (an array of a page's tokens) and what else to aggregate of each page."""
+    rest = [c for c in tokens.columns if c not in by]
+    return tokens.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("tokens"), *more)
+
+
+def banded(page: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """by, the columns of the tokens of pages(), and line_id: from top to bottom a token joins the line above it if its centre is
+    within the tolerance of that line's first one's, else it begins a line. A token without a place is a line of its own, after the others.
+
+    A page is one row, so no token is grouped again, and nothing leaves the built-in expressions.
+    """
+    at = lambda t: F.nanvl((t["y0"] + t["y1"]) / 2, F.lit(None).cast("double"))
+    begins = lambda heads, c: F.coalesce(c - F.get(heads, F.size(heads) - 1) > tolerance, F.lit(True))
+    centres = F.sort_array(F.array_distinct(F.array_compact(F.transform("tokens", at))))
+    heads = F.aggregate(centres, F.array().cast("array<double>"), lambda heads, c: F.when(begins(heads, c), F.concat(heads, F.array(c))).otherwise(heads))
+    place = lambda t: F.struct(t["x0"].alias("x0"), t["token_id"].alias("token_id"))
+    astray = F.sort_array(F.transform(F.filter("tokens", lambda t: at(t).isNull()), place))
+    lines = page.select(*by, "tokens", heads.alias("_heads"), astray.alias("_astray"))  # once a page: beside explode() they would run for each token
+    x = lines.select(*by, "_heads", "_astray", F.explode("tokens").alias("_t")).withColumn("_c", at(F.col("_t")))
+    line = F.when(F.col("_c").isNull(), F.size("_heads") + F.array_position("_astray", place(F.col("_t")))).otherwise(F.size(F.filter("_heads", lambda h: h <= F.col("_c"))))
+    return x.select(*by, "_t.*", line.cast("int").alias("line_id"))
+
+
 def suppress(boxes: DataFrame, by: list[str], schema_by: str, most: float = 0.5) -> DataFrame:
     """token_id of the boxes that stay: from the surest on, a box goes if it overlaps one that stays by more than `most`."""
 

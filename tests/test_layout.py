@@ -10,3 +10,25 @@ def test_orientation_of_equal_weights(spark):
     rows = [(1, 90, 0.1), (1, 90, 0.2), (1, 90, 0.3), (1, 0, 0.6), (2, 90, 0.6), (2, 0, 0.59), (3, 180, None), (3, 90, None)]
     tokens = spark.createDataFrame(rows, "k int, angle int, conf double").selectExpr("*", "0 as x0", "1 as x1", "0 as y0", "1 as y1")
     assert {tuple(r) for r in spatial.orientation(tokens, ["k"]).collect()} == {(1, 0), (2, 90), (3, 90)}
+
+
+def native(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any(w in plan for w in ("Python", "Pandas", "InArrow"))
+
+
+def test_bands_against_a_plain_loop(spark):
+    rng, rows, expected = random.Random(4), [], {}
+    for page in range(30):
+        tokens = [(page, i, rng.random(), y, rng.random(), y + 0.01) for i in range(rng.randrange(1, 80)) for y in [rng.randrange(0, 60) * 0.004]]
+        heads = []
+        for _, i, _, y0, _, y1 in sorted(tokens, key=lambda t: (t[3] + t[5]) / 2):
+            c = (y0 + y1) / 2
+            if not heads or c - heads[-1] > layout.BAND:
+                heads.append(c)
+            expected[page, i] = len(heads)
+        rows += tokens
+    rows += [(99, 3, 0.5, 0.1, 0.6, 0.11), (99, 2, 0.4, None, 0.5, 0.3), (99, 1, 0.2, None, 0.5, None)]
+    got = layout.bands(spark.createDataFrame(rows, "k long, token_id long, x0 double, y0 double, x1 double, y1 double"), "k", "long")
+    assert {(r.k, r.token_id): r.line_id for r in got.collect()} == expected | {(99, 3): 1, (99, 1): 2, (99, 2): 3}
+    assert native(got)  # no page goes to Python by itself
