@@ -82,21 +82,24 @@ def party_fields(tokens: DataFrame, key: str, key_type: str) -> DataFrame:
     address, a line each.
     """
     first = lambda pattern: F.min_by("y0", F.when(F.trim("text").rlike(pattern), F.struct("y0", "x0", "token_id")))
-    at = tokens.groupBy(key).agg(first(r"(?i)^seller\b").alias("seller"), first(r"(?i)^client\b|^buyer\b|^bill\s+to\b").alias("client"), first(r"(?i)^items\b").alias("items")).where("seller is not null and client is not null")
-    at = at.select(key, F.least("seller", "client").alias("top"), F.coalesce("items", F.least("seller", "client") + 0.35).alias("bottom"))
-    mid = (F.col("y0") + F.col("y1")) / 2
-    block = tokens.join(at, key).where((mid >= F.col("top")) & (mid <= F.col("bottom"))).drop("top", "bottom")
-    placed = block.join(bands(block, key, key_type), [key, "token_id"]).withColumn("side", extract.party_side(F.col("x0"), F.col("x1"), SPLIT))
+    at = spatial.pages(tokens, [key], first(r"(?i)^seller\b").alias("seller"), first(r"(?i)^client\b|^buyer\b|^bill\s+to\b").alias("client"), first(r"(?i)^items\b").alias("items")).where("seller is not null and client is not null")
+    at = at.select(key, "tokens", F.least("seller", "client").alias("top"), F.coalesce("items", F.least("seller", "client") + 0.35).alias("bottom"))
+    placed = _between(at, key).withColumn("side", extract.party_side(F.col("x0"), F.col("x1"), SPLIT))
     lines = _strings(placed, [key, "side", "line_id"]).where("line <> ''")
     heading = F.when(F.col("side") == "seller", F.col("line").rlike(r"(?i)^seller\b|^items\b")).otherwise(F.col("line").rlike(r"(?i)^client\b|^buyer\b"))
     lines = lines.where(~heading).withColumn("tax", F.col("line").rlike(r"(?i)tax\s*id|vat")).where(F.col("tax") | (F.col("side") == "client") | ~F.col("line").rlike("(?i)iban"))
     party = F.when(F.col("side") == "seller", "supplier").otherwise("buyer")
     number = F.coalesce(F.nullif(F.regexp_extract("line", r"(?i)(?:tax\s*id|vat)[:#\-]?\s*([A-Za-z0-9\-]+)", 1), F.lit("")), F.col("line"))
-    tax = _hypothesis(lines.where("tax"), key, F.concat(party, F.lit("_gstin")), number, F.col("line"))
-    plain = lines.where("not tax").withColumn("nth", F.row_number().over(W.partitionBy(key, "side").orderBy("line_id")))
-    name = _hypothesis(plain.where("nth = 1"), key, F.concat(party, F.lit("_name")), F.col("line"), F.col("line"))
-    rest = plain.where("nth > 1").groupBy(key, "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda p: p["line"]), "\n").alias("line"))
-    return tax.union(name).union(_hypothesis(rest, key, F.concat(party, F.lit("_address")), F.col("line"), F.col("line")))
+    said = F.array_sort(F.collect_list(F.struct("line_id", "line", "tax", number.alias("number"))))
+    sides = lines.groupBy(key, "side").agg(said.alias("said"))
+    told = lambda field, value, evidence: F.struct(F.concat(party, F.lit(field)).alias("field"), value.alias("value"), evidence.alias("evidence"))
+    plain = F.transform(F.filter("said", lambda s: ~s["tax"]), lambda s: s["line"])
+    tax = F.transform(F.filter("said", lambda s: s["tax"]), lambda s: told("_gstin", s["number"], s["line"]))
+    sides = sides.select(key, "side", tax.alias("tax"), plain.alias("plain"), F.array_join(F.slice(plain, 2, F.greatest(F.size(plain), F.lit(1))), "\n").alias("rest"))
+    name, rest = F.get("plain", F.lit(0)), F.when(F.size("plain") > 1, F.col("rest"))
+    found = F.concat("tax", F.filter(F.array(told("_name", name, name), told("_address", rest, rest)), lambda r: r["value"].isNotNull()))
+    hits = sides.select(key, F.explode(found).alias("r"))
+    return _hypothesis(hits, key, F.col("r.field"), F.col("r.value"), F.col("r.evidence"))
 
 
 #: A row of three totals, and one total by its name.
@@ -130,11 +133,9 @@ def item_fields(tokens: DataFrame, key: str, key_type: str) -> DataFrame:
     the bands after it add to its description and fill its empty figures.
     """
     low = F.lower("text")
-    at = tokens.groupBy(key).agg(F.min_by("y1", F.when(F.contains(low, F.lit("description")), F.struct("y0", "x0", "token_id"))).alias("top"), F.min_by("y0", F.when(F.contains(low, F.lit("summary")) | (F.contains(low, F.lit("total")) & (F.col("y0") > LOW)), F.struct("y0", "x0", "token_id"))).alias("bottom")).where("top is not null")
-    at = at.select(key, (F.col("top") + 0.005).alias("top"), F.coalesce(F.col("bottom") - 0.005, F.lit(FLOOR)).alias("bottom"))
-    mid, x = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
-    table = tokens.join(at, key).where((mid >= F.col("top")) & (mid <= F.col("bottom"))).drop("top", "bottom")
-    placed = table.join(bands(table, key, key_type), [key, "token_id"]).withColumn("x", x)
+    at = spatial.pages(tokens, [key], F.min_by("y1", F.when(F.contains(low, F.lit("description")), F.struct("y0", "x0", "token_id"))).alias("top"), F.min_by("y0", F.when(F.contains(low, F.lit("summary")) | (F.contains(low, F.lit("total")) & (F.col("y0") > LOW)), F.struct("y0", "x0", "token_id"))).alias("bottom")).where("top is not null")
+    at = at.select(key, "tokens", (F.col("top") + 0.005).alias("top"), F.coalesce(F.col("bottom") - 0.005, F.lit(FLOOR)).alias("bottom"))
+    placed = _between(at, key).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
     order = F.struct("x0", "token_id")
     inside = lambda f: (F.col("x") >= COLUMNS[f][0]) & ((F.col("x") <= COLUMNS[f][1]) if f == "line_total" else (F.col("x") < COLUMNS[f][1]))
     first = lambda f: F.min_by("text", F.when(inside(f), order))

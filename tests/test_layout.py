@@ -32,3 +32,21 @@ def test_bands_against_a_plain_loop(spark):
     got = layout.bands(spark.createDataFrame(rows, "k long, token_id long, x0 double, y0 double, x1 double, y1 double"), "k", "long")
     assert {(r.k, r.token_id): r.line_id for r in got.collect()} == expected | {(99, 3): 1, (99, 1): 2, (99, 2): 3}
     assert native(got)  # no page goes to Python by itself
+
+
+PAGE = [
+    ("Seller:", 0.05, 0.20), ("Client:", 0.55, 0.20), ("Acme", 0.05, 0.24), ("Ltd", 0.11, 0.245), ("Zeta", 0.55, 0.24), ("1 Road", 0.05, 0.28), ("Town", 0.05, 0.31), ("Tax Id: 12-A", 0.05, 0.34),
+    ("VAT", 0.05, 0.36), ("IBAN: GB1", 0.05, 0.38), ("ITEMS", 0.05, 0.45), ("below", 0.05, 0.47), ("Description", 0.12, 0.50), ("1.", 0.05, 0.55), ("Nut", 0.15, 0.555), ("2,00", 0.39, 0.55), ("more", 0.15, 0.58), ("Total", 0.05, 0.70),
+]
+
+
+def page_of(spark):
+    rows = [(7, i, t, x, y, x + 0.04, y + 0.01) for i, (t, x, y) in enumerate(PAGE)] + [(8, 1, "Seller", 0.1, 0.1, 0.2, 0.11)]
+    return spark.createDataFrame(rows, "k long, token_id long, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_parties_in_one_reading(spark):
+    got = layout.party_fields(page_of(spark), "k", "long")
+    expected = {("supplier_name", "Acme Ltd"), ("supplier_address", "1 Road\nTown"), ("supplier_gstin", "12-A"), ("supplier_gstin", "VAT"), ("buyer_name", "Zeta")}
+    assert {(r.field, r.value) for r in got.collect()} == expected
+    assert native(got) and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
