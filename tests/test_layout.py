@@ -50,3 +50,9 @@ def test_parties_in_one_reading(spark):
     expected = {("supplier_name", "Acme Ltd"), ("supplier_address", "1 Road\nTown"), ("supplier_gstin", "12-A"), ("supplier_gstin", "VAT"), ("buyer_name", "Zeta")}
     assert {(r.field, r.value) for r in got.collect()} == expected
     assert native(got) and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_in_one_reading(spark):
+    got = layout.item_fields(page_of(spark), "k", "long")
+    assert [(r.k, r.item_no, r.line_no, r.description, r.quantity, r.line_total) for r in got.collect()] == [(7, 1, "1", "Nut more", "2.00", None)]
+    assert native(got) and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
