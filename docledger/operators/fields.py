@@ -112,11 +112,12 @@ def merged_fields(hyps: DataFrame, key: str, as_of: Column, alternatives: int =
     key, field, value, raw, confidence, status, sources, alternatives, ambiguous, note and evidence (those of the surest
     hypothesis of the winning value, the first of equals), qr_conflict (a code's value stands against others).
     """
-    x = normalised(hyps.withColumnRenamed("value", "raw"), "field", "raw", as_of).where("value is not null")
-    x = x.withColumns({"doc_id": F.col(key), "note": F.nullif(F.array_join("notes", ","), F.lit(""))})
-    won = merge.merge(x.select("doc_id", "field", "value", "source", "confidence"), alternatives=alternatives)
-    told = x.groupBy("doc_id", "field", "value").agg(F.max_by(F.struct("raw", "note", "evidence"), F.struct("confidence", "raw")).alias("t"))
-    out = won.join(told, ["doc_id", "field", "value"])
+    known = hyps.where(F.col(key).isNotNull() & F.col("field").isNotNull()).withColumnRenamed("value", "raw")
+    x = normalised(known, "field", "raw", as_of).withColumn("note", F.nullif(F.array_join("notes", ","), F.lit("")))
+    # A condition on the value itself would be pushed down with all that the value is made of, thousands of expressions for each row.
+    x = x.select(F.col(key).alias("doc_id"), "field", "source", "confidence", F.explode(F.array(F.struct("value", "raw", "note", "evidence"))).alias("t"))
+    x = x.where("t.value is not null").select("doc_id", "field", "t.value", "source", "confidence", "t")
+    out = merge.merge(x, alternatives=alternatives, carried="t", order=F.struct("confidence", "t.raw"))
     invalid = F.when(F.col("field").isin(*GSTIN_FIELDS), ids.gstin_valid(F.col("value")))
     sure = confidence.cap(F.col("score"), F.lit(False), invalid, F.coalesce(F.col("t.note").contains("DATE_AMBIGUOUS_DAY_FIRST"), F.lit(False)), F.lit(False))
     return out.select(

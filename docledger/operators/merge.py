@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docledger.functions import confidence
 
 
-def noisy_or(hyps: DataFrame, by: list[str]) -> DataFrame:
-    """score: 1 minus the product of what each family of sources leaves open (its best counts), at most 0.99."""
-    best = hyps.withColumn("family", confidence.family(F.col("source"))).groupBy(*by, "family").agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence").cast("double")))).alias("c"), F.array_sort(F.collect_set("source")).alias("s"))
+def noisy_or(hyps: DataFrame, by: list[str], carried: str | None = None, order: Column | None = None) -> DataFrame:
+    """score: 1 minus the product of what each family of sources leaves open (its best counts), at most 0.99.
+
+    carried: a column to keep of the hypothesis that is last in `order`.
+    """
+    last = [] if carried is None else [F.max_by(carried, order).alias(carried), F.max(order).alias("_order")]
+    best = hyps.withColumn("family", confidence.family(F.col("source"))).groupBy(*by, "family").agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence").cast("double")))).alias("c"), F.array_sort(F.collect_set("source")).alias("s"), *last)
     left = F.aggregate(F.array_sort(F.collect_list("c")), F.lit(1.0), lambda a, c: a * (F.lit(1.0) - c))
-    return best.groupBy(*by).agg(F.least(F.lit(0.99), F.lit(1.0) - left).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"))
+    last = [] if carried is None else [F.max_by(carried, "_order").alias(carried)]
+    return best.groupBy(*by).agg(F.least(F.lit(0.99), F.lit(1.0) - left).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), *last)
 
 
-def merge(hyps: DataFrame, gap: float = 0.15, alternatives: int = 3) -> DataFrame:
+def merge(hyps: DataFrame, gap: float = 0.15, alternatives: int = 3, carried: str | None = None, order: Column | None = None) -> DataFrame:
     """doc_id, field, value, score, sources, alternatives and ambiguous: the best value of each field.
 
     Values are ranked by score, then by value; a value that a QR code gives wins. Ambiguous: the next one is nearer than `gap`
-    and no QR code decides.
+    and no QR code decides. carried: a column to keep of the best value's hypothesis that is last in `order`.
     """
     keys = ["doc_id", "field"]
-    scored = noisy_or(hyps, [*keys, "value"]).withColumn("qr", F.array_contains("sources", "qr"))
+    scored = noisy_or(hyps, [*keys, "value"], carried, order).withColumn("qr", F.array_contains("sources", "qr"))
     w = W.partitionBy(*keys).orderBy(F.desc("qr"), F.desc("score"), "value")
     ranked = scored.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)})
     others = F.filter(F.array_sort(F.collect_list(F.when((F.col("rank") > 1) & (F.col("rank") <= alternatives + 1), F.struct("rank", "value", "score")))), lambda x: x.isNotNull())
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c)
-    return ranked.groupBy(*keys).agg(first("value"), first("score"), first("sources"), F.transform(others, lambda x: x["value"]).alias("alternatives"), F.max((F.col("rank") == 1) & ~F.col("qr") & F.coalesce(F.col("score") - F.col("next") < gap, F.lit(False))).alias("ambiguous"))
+    kept = [] if carried is None else [F.min_by(carried, "rank").alias(carried)]
+    return ranked.groupBy(*keys).agg(first("value"), first("score"), first("sources"), F.transform(others, lambda x: x["value"]).alias("alternatives"), F.max((F.col("rank") == 1) & ~F.col("qr") & F.coalesce(F.col("score") - F.col("next") < gap, F.lit(False))).alias("ambiguous"), *kept)
 
 
 def representative(hyps: DataFrame, by: list[str], order: str, carried: list[str]) -> DataFrame:
