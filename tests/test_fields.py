@@ -15,4 +15,5 @@ def test_merged_fields_in_one_reading(spark):
     got = fields.merged_fields(spark.createDataFrame(rows, SAID), "k", F.lit("2026-06-01").cast("date"))
     assert {(r.k, r.field, r.value, r.raw, r.evidence, tuple(r.alternatives)) for r in got.collect()} == {(1, "total_amount", "5.00", "Rs 5", "a", ("7.00",)), (1, "invoice_no", "A-1", " A-1 ", "d", ())}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") == 1 and plan.count("regexp_replace") < 200  # the value's expression stands there once
+    conditions = [line for line in plan.splitlines() if "Filter" in line]
+    assert plan.count("LogicalRDD") == 1 and max(map(len, conditions)) < 1000  # no condition holds all that a value is made of
