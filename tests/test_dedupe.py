@@ -38,3 +38,13 @@ def test_missing_totals_meet_all_once(spark):
     assert sorted(pairs) == sorted((a, b) for a in "12345" for b in "12345" if a != b and tuple(sorted((a, b))) not in far)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_exact_files_go_out_as_they_come(spark):
+    """A pair of one file is exact whatever else it is; such pairs, the squares of a file's copies, are not grouped again."""
+    rows = [(j, 0, s, "27AAPFU0939F1ZV", "INV1", DAY, SUM, "A") for j, s in (("a", "x"), ("b", "x"), ("c", "y"), ("d", None))]
+    found = dedupe.matches(spark.createDataFrame(rows + rows[:1], KEYS))
+    got = sorted((r.a_job_id, r.b_job_id, r.kind) for r in found.collect())
+    assert got == sorted((a, b, "exact_file" if {a, b} == {"a", "b"} else "business_key") for a in "abcd" for b in "abcd" if a != b)
+    top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Union")
