@@ -31,6 +31,8 @@ from docledger.llm.common import Shared, arrow_limits, materialize, text_bytes,
 BLOCK_TOKENS, LONG_TEXT, CHUNK = 1_000_000, 500_000, 1 << 18
 #: Buckets of words: at least so many, and one for so many bytes of text.
 LEAST_BUCKETS, BUCKET_BYTES = 32, 32 << 20
+#: Blocks of a task that lie in one bucket, and so in one file, before its next ones go to the next bucket.
+TOGETHER = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,16 +116,43 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(total, dtype=np.int64)
 
 
+def _bucket(x: int, n: int) -> int:
+    """The bucket of a long: Spark's own hash, by which tables are bucketed."""
+    h = 42
+    for k in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        h ^= k
+        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return (h - (h >> 31 << 32)) % n
+
+
+def _numbers(task: int, n_buckets: int):
+    """Numbers for the blocks of a task, TOGETHER of them in a bucket.
+
+    Without that each block would be a file of its own, and for each file that it makes an executor may start a process.
+    """
+    number, dealt = task << 32, 0
+    while True:
+        while _bucket(number, n_buckets) != (task + dealt // TOGETHER) % n_buckets:
+            number += 1
+        yield number
+        number, dealt = number + 1, dealt + 1
+
+
 def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType, block_tokens: int):
     split, long_text = regex.compile(pattern), LONG_TEXT
 
     def run(batches):
-        number, task = 0, TaskContext.get().partitionId()
+        numbers = _numbers(TaskContext.get().partitionId(), n_buckets)
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("counts", pa.binary()), ("stream", pa.binary()), ("buckets", pa.binary()), ("words", pa.binary())])
         ids, counts, streams, seen, tokens = [], [], [], {}, 0
 
         def flush():
-            nonlocal number
             local = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
             streams.clear()
             every = [w.encode("utf-8") for w in seen]
@@ -135,8 +164,7 @@ def _blocks(pattern: str, n_buckets: int, id_type: pa.DataType, block_tokens: in
             del every
             buckets = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.uint32, len(words))
             np.take(rank, local, out=local)
-            row = [[(task << 32) | number], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack_stream(local)], [_pack(buckets)], [_pack_words(words)]]
-            number += 1
+            row = [[next(numbers)], [list(ids)], [_pack(np.array(counts, np.uint32))], [_pack_stream(local)], [_pack(buckets)], [_pack_words(words)]]
             return pa.record_batch([pa.array(v, t.type) for v, t in zip(row, schema)], schema=schema)
 
         for batch in batches:

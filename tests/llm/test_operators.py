@@ -311,6 +311,18 @@ def test_language(spark):
     assert langid.train(df.withColumn("lang", F.lit(None).cast("string"))).languages == []
 
 
+def test_bpe_writes_a_file_for_a_task(spark, monkeypatch):
+    """Not one for each block: an executor starts a process for each file."""
+    written = []
+    monkeypatch.setattr(bpe, "materialize", lambda *a, **k: written.append(common.materialize(*a, **k)) or written[-1])
+    df = spark.range(40).selectExpr("id as doc_id", "'a few words of a text' as text").coalesce(2)
+    assert bpe.encode(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block_tokens=10).count() == 40
+    assert written[0].count() > 10 and len(written[0].inputFiles()) == 2
+    for n in (1, 32, 211):
+        numbers = [-(1 << 40), -1, 0, 1, 5 << 32, (7 << 32) + 12345]
+        assert [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "x long").selectExpr(f"pmod(hash(x), {n})").collect()] == [bpe._bucket(x, n) for x in numbers]
+
+
 def test_bpe(spark, docs, clashing, corpus, monkeypatch):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
