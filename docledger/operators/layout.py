@@ -124,33 +124,55 @@ def total_fields(layout: DataFrame, key: str, text: str = "text") -> DataFrame:
 #: Where the columns of a table of items stand (centre from, to), and below which height "total" ends it.
 COLUMNS = {"description": (0.12, 0.39), "quantity": (0.38, 0.45), "unit": (0.45, 0.52), "unit_price": (0.52, 0.63), "tax_rate": (0.73, 0.83), "line_total": (0.83, 0.95)}
 LEAD, LOW, FLOOR = 0.14, 0.60, 0.80
+FIGURES = ("quantity", "unit_price", "line_total")
 
 
 def item_fields(tokens: DataFrame, key: str, key_type: str) -> DataFrame:
     """key, item_no, line_no, description, quantity, unit, unit_price, tax_rate and line_total of a table of items.
 
     The table lies below the token that says description, down to a summary or total. A band that a number leads begins an item;
-    the bands after it add to its description and fill its empty figures.
+    the bands after it add to its description and fill its empty figures. A page stays one row up to its items, so that no token or band is grouped again.
     """
-    low = F.lower("text")
-    at = spatial.pages(tokens, [key], F.min_by("y1", F.when(F.contains(low, F.lit("description")), F.struct("y0", "x0", "token_id"))).alias("top"), F.min_by("y0", F.when(F.contains(low, F.lit("summary")) | (F.contains(low, F.lit("total")) & (F.col("y0") > LOW)), F.struct("y0", "x0", "token_id"))).alias("bottom")).where("top is not null")
-    at = at.select(key, "tokens", (F.col("top") + 0.005).alias("top"), F.coalesce(F.col("bottom") - 0.005, F.lit(FLOOR)).alias("bottom"))
-    placed = _between(at, key).withColumn("x", (F.col("x0") + F.col("x1")) / 2)
-    order = F.struct("x0", "token_id")
-    inside = lambda f: (F.col("x") >= COLUMNS[f][0]) & ((F.col("x") <= COLUMNS[f][1]) if f == "line_total" else (F.col("x") < COLUMNS[f][1]))
-    first = lambda f: F.min_by("text", F.when(inside(f), order))
-    words = F.array_sort(F.collect_list(F.when(inside("description"), F.struct("x0", "token_id", "text"))))
-    band = placed.groupBy(key, "line_id").agg(F.min_by("text", F.when(F.col("x0") < LEAD, order)).alias("lead"), F.array_join(F.transform(words, lambda p: p["text"]), " ").alias("description"), *[first(f).alias(f) for f in COLUMNS if f != "description"])
-    w = W.partitionBy(key).orderBy("line_id")
-    band = band.withColumn("new", F.coalesce(F.trim("lead").rlike(r"^\d+\.?$"), F.lit(False))).withColumn("item_no", F.count_if("new").over(w)).where("item_no > 0")
-    amount = lambda f: F.nullif(extract.clean_amount(F.col(f)), F.lit(""))
-    band = band.withColumns({f: amount(f) for f in ("quantity", "unit_price", "line_total")} | {f: F.when(F.col("new"), F.nullif(F.trim(f), F.lit(""))) for f in ("unit", "tax_rate")})
-    told = F.transform(F.array_sort(F.collect_list(F.when(F.col("description") != "", F.struct("line_id", "description")))), lambda p: p["description"])
-    filled = lambda f: F.min_by(f, F.when(F.col(f).isNotNull(), F.col("line_id"))).alias(f)
-    items = band.groupBy(key, "item_no").agg(F.min_by(F.rtrim(F.trim("lead"), F.lit(".")), F.when(F.col("new"), F.col("line_id"))).alias("line_no"), F.nullif(F.trim(F.array_join(told, " ")), F.lit("")).alias("description"), *[filled(f) for f in COLUMNS if f != "description"])
+    low, place = F.lower("text"), F.struct("y0", "x0", "token_id")
+    top = F.min_by("y1", F.when(F.contains(low, F.lit("description")), place))
+    bottom = F.min_by("y0", F.when(F.contains(low, F.lit("summary")) | (F.contains(low, F.lit("total")) & (F.col("y0") > LOW)), place))
+    slim = F.struct("x0", "token_id", "text", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    page = tokens.groupBy(key).agg(F.collect_list(slim).alias("tokens"), top.alias("top"), bottom.alias("bottom")).where("top is not null")
+    held = F.filter("tokens", lambda t: (t["y"] >= F.col("top") + 0.005) & (t["y"] <= F.coalesce(F.col("bottom") - 0.005, F.lit(FLOOR))))
+    lined = spatial.let(held, lambda h: spatial.lined(h, BAND, lambda t: t["y"], lambda t, line: F.struct(line.alias("line"), *[t[c].alias(c) for c in ("x0", "token_id", "text", "x")])))
+    items = page.select(key, F.posexplode(spatial.let(F.sort_array(lined), _items)).alias("i", "r")).select(key, (F.col("i") + 1).cast("long").alias("item_no"), "r.*")
+    amount = lambda c: F.nullif(extract.clean_amount(c), F.lit(""))
+    figure = lambda f: F.coalesce(amount(F.get(f, F.lit(0))), F.get(F.array_compact(F.transform(f, amount)), F.lit(0)))
+    plain = lambda f: F.nullif(F.trim(f), F.lit(""))
+    items = items.select(key, "item_no", F.rtrim(F.trim("line_no"), F.lit(".")).alias("line_no"), plain("description").alias("description"), *[(figure(f) if f in FIGURES else plain(f)).alias(f) for f in COLUMNS if f != "description"])
     return items.where("description is not null or quantity is not null or line_total is not null")
 
 
+def _items(tokens: Column) -> Column:
+    """Of a page's tokens in order of their lines and places: the number, words and figures of each item, as they stand there.
+
+    Of a figure, the first token of each line of the item; of unit and tax rate, that of its first line.
+    """
+    inside = lambda t, f: (t["x"] >= COLUMNS[f][0]) & ((t["x"] <= COLUMNS[f][1]) if f == "line_total" else (t["x"] < COLUMNS[f][1]))
+    same = lambda x, i, t: F.coalesce(F.get(x, i)["line"] == t["line"], F.lit(False))
+    firsts = lambda x: spatial.let(x, lambda x: F.filter(x, lambda t, i: ~same(x, i - 1, t)))
+    texts = lambda x: F.transform(x, lambda t: t["text"])
+    # A line whose only word is empty adds none to a description.
+    words = lambda own: spatial.let(F.filter(own, lambda t: inside(t, "description") & t["text"].isNotNull()), lambda x: F.array_join(texts(F.filter(x, lambda t, i: (t["text"] != "") | same(x, i - 1, t) | same(x, i + 1, t))), " "))
+
+    def item(one: Column, own: Column) -> Column:
+        figure = lambda f: texts(firsts(F.filter(own, lambda t: inside(t, f))))
+        leading = lambda f: F.get(F.filter(own, lambda t: (t["line"] == one["line"]) & inside(t, f)), F.lit(0))["text"]
+        return F.struct(one["text"].alias("line_no"), words(own).alias("description"), *[(figure(f) if f in FIGURES else leading(f)).alias(f) for f in COLUMNS if f != "description"])
+
+    def each(begins: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(begins, i + 1)["line"], F.lit(2**31 - 1))
+        return F.transform(begins, lambda one, i: spatial.let(F.filter(tokens, lambda t: (t["line"] >= one["line"]) & (t["line"] < until(i))), lambda own: item(one, own)))
+
+    leads = firsts(F.filter(tokens, lambda t: t["x0"] < LEAD))
+    return spatial.let(F.filter(leads, lambda t: F.trim(t["text"]).rlike(r"^\d+\.?$")), each)
+
+
 def model_hypotheses(tokens: DataFrame, layout: DataFrame, key: str, key_type: str) -> DataFrame:
     """All header hypotheses of the layout model. layout: (key, text)."""
     return header_fields(tokens, key, layout).union(party_fields(tokens, key, key_type)).union(total_fields(layout, key))

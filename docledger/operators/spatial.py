@@ -38,6 +38,27 @@ def pages(tokens: DataFrame, by: list[str], *more: Column) -> DataFrame:
     return tokens.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("tokens"), *more)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value made once: in a lambda function it would be made again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _heads(centres: Column, tolerance: float) -> Column:
+    """The centres that begin a line, from top to bottom."""
+    begins = lambda heads, c: F.coalesce(c - F.get(heads, F.size(heads) - 1) > tolerance, F.lit(True))
+    centres = F.sort_array(F.array_distinct(F.array_compact(centres)))
+    return F.aggregate(centres, F.array().cast("array<double>"), lambda heads, c: F.when(begins(heads, c), F.concat(heads, F.array(c))).otherwise(heads))
+
+
+def lined(tokens: Column, tolerance: float, centre, row) -> Column:
+    """row(token, line_id) of each token of an array, with lines as in banded(); the page stays one row."""
+    at = lambda t: F.nanvl(centre(t), F.lit(None).cast("double"))
+    place = lambda t: F.struct(t["x0"].alias("x0"), t["token_id"].alias("token_id"))
+    astray = F.sort_array(F.transform(F.filter(tokens, lambda t: at(t).isNull()), place))
+    line = lambda t, heads: F.when(at(t).isNull(), F.size(heads) + F.array_position(astray, place(t)).cast("int")).otherwise(F.size(F.filter(heads, lambda h: h <= centre(t))))
+    return let(_heads(F.transform(tokens, at), tolerance), lambda heads: F.transform(tokens, lambda t: row(t, line(t, heads))))
+
+
 def banded(page: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """by, the columns of the tokens of pages(), and line_id: from top to bottom a token joins the line above it if its centre is
     within the tolerance of that line's first one's, else it begins a line. A token without a place is a line of its own, after the others.
@@ -45,9 +66,7 @@ def banded(page: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     A page is one row, so no token is grouped again, and nothing leaves the built-in expressions.
     """
     at = lambda t: F.nanvl((t["y0"] + t["y1"]) / 2, F.lit(None).cast("double"))
-    begins = lambda heads, c: F.coalesce(c - F.get(heads, F.size(heads) - 1) > tolerance, F.lit(True))
-    centres = F.sort_array(F.array_distinct(F.array_compact(F.transform("tokens", at))))
-    heads = F.aggregate(centres, F.array().cast("array<double>"), lambda heads, c: F.when(begins(heads, c), F.concat(heads, F.array(c))).otherwise(heads))
+    heads = _heads(F.transform("tokens", at), tolerance)
     place = lambda t: F.struct(t["x0"].alias("x0"), t["token_id"].alias("token_id"))
     astray = F.sort_array(F.transform(F.filter("tokens", lambda t: at(t).isNull()), place))
     lines = page.select(*by, "tokens", heads.alias("_heads"), astray.alias("_astray"))  # once a page: beside explode() they would run for each token

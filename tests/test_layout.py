@@ -56,3 +56,13 @@ def test_items_in_one_reading(spark):
     got = layout.item_fields(page_of(spark), "k", "long")
     assert [(r.k, r.item_no, r.line_no, r.description, r.quantity, r.line_total) for r in got.collect()] == [(7, 1, "1", "Nut more", "2.00", None)]
     assert native(got) and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_group_tokens_once(spark):
+    """Tokens are grouped by page and never again; a line whose only word is empty adds none to a description."""
+    more = [("2.", 0.05, 0.60), ("", 0.15, 0.61), ("", 0.15, 0.63), ("x", 0.15, 0.645), (None, 0.20, 0.645), ("7,50", 0.55, 0.645), ("8,50", 0.56, 0.645), ("each", 0.46, 0.645), ("3", 0.05, 0.665), ("", 0.85, 0.665)]
+    rows = [(9, i, t, x, y, x + 0.04, y + 0.01) for i, (t, x, y) in enumerate(PAGE + more)] + [(9, 99, "lost", 0.3, None, 0.4, 0.6)]
+    got = layout.item_fields(spark.createDataFrame(rows, "k long, token_id long, text string, x0 double, y0 double, x1 double, y1 double"), "k", "long")
+    assert [tuple(r) for r in got.orderBy("item_no").collect()] == [(9, 1, "1", "Nut more", "2.00", None, None, None, None), (9, 2, "2", "x", None, None, "7.50", None, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Window" not in plan
