@@ -1,6 +1,10 @@
+import random
 from datetime import date
 from decimal import Decimal
 
+import pytest
+
+from docledger.functions.similarity import indel
 from docledger.operators import dedupe
 from docledger.streaming import jobs
 
@@ -40,6 +44,34 @@ def test_missing_totals_meet_all_once(spark):
     assert "Union" not in plan
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 100])
+def test_names_are_compared_for_crowds_only(spark, monkeypatch, crowd):
+    """Whatever a crowd is, the pairs are those of a plain loop; only documents of a crowded total have their names looked up."""
+    rng, looked = random.Random(5), []
+    totals = [None] + [SUM + Decimal(c) / 100 for c in (0, 0, 0, 1, 2, 500)]
+    rows = [(f"j{i}", 0, f"s{i}", "", f"INV20260{rng.randrange(4)}{'X' * rng.randrange(3)}", DAY, rng.choice(totals), f"Supplier#0000{rng.randrange(12):05d}{' Ltd' * rng.randrange(2)}") for i in range(60)]
+    rows += [(f"k{i}", 0, f"t{i}", "", "INV2026001", DAY, SUM + 10 + i, f"Lone#{i:09d}") for i in range(5)]
+    kept = dedupe.similar_names
+
+    def similar_names(a, b, least):
+        looked.extend(r.name for r in a.collect())
+        return kept(a, b, least)
+
+    monkeypatch.setattr(dedupe, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(dedupe, "similar_names", similar_names)
+    got = [(r.a_job_id, r.b_job_id) for r in dedupe.near_without_supplier(spark.createDataFrame(rows, KEYS)).collect()]
+    close = lambda t, u: t is None or u is None or abs(t - u) <= Decimal("0.01")
+    want = [(r[0], s[0]) for r in rows for s in rows if r[0] != s[0] and close(r[6], s[6]) and indel(r[4], s[4]) >= 85 and indel(r[7], s[7]) >= 90]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert looked if crowd < 100 else not looked
+
+
+def test_longest_numbers_alike_meet(spark):
+    """Lengths of 51 and 69 are the farthest that are alike to 85; 18 and 22 of a name are just alike to 90."""
+    rows = [("a", 0, "s1", "", "7" * 51, DAY, SUM, "Supplier#000000001"), ("b", 0, "s2", "", "7" * 69, DAY, SUM, "Supplier#000000001 Ltd")]
+    assert {(r.a_job_id, r.b_job_id) for r in dedupe.near_without_supplier(spark.createDataFrame(rows, KEYS)).collect()} == {("a", "b"), ("b", "a")}
+
+
 def test_exact_files_go_out_as_they_come(spark):
     """A pair of one file is exact whatever else it is; such pairs, the squares of a file's copies, are not grouped again."""
     rows = [(j, 0, s, "27AAPFU0939F1ZV", "INV1", DAY, SUM, "A") for j, s in (("a", "x"), ("b", "x"), ("c", "y"), ("d", None))]
