@@ -80,3 +80,11 @@ def test_exact_files_go_out_as_they_come(spark):
     assert got == sorted((a, b, "exact_file" if {a, b} == {"a", "b"} else "business_key") for a in "abcd" for b in "abcd" if a != b)
     top = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert top.startswith("Union")
+
+
+def test_precedence_compares_no_names_without_a_crowd(spark, monkeypatch):
+    """matches() finds documents without a tax number by their totals; names alike are not paired first."""
+    looked, kept = [], dedupe.similar_names
+    monkeypatch.setattr(dedupe, "similar_names", lambda a, b, least: looked.append(a.count() + b.count()) or kept(a, b, least))
+    got = {(r.a_job_id, r.b_job_id): r.kind for r in dedupe.matches(spark.createDataFrame([r for r in ROWS if r[6] is not None], KEYS)).collect()}
+    assert got == {p: "near" for p in (("a", "b"), ("b", "a"))} and looked == [0]
